@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siftstone.llm import ngram_join
+from siftstone.llm import language_id, mixing, ngram_join, packing, quality_model
 from siftstone.llm.durable import table
 
 
@@ -15,8 +15,32 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similar_pairs(table(spark, sf_dir, "documents"))
 
 
+def op2_string_kernel_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's predicted language, scores, and whether its declared one is accepted."""
+    return language_id.identified(table(spark, sf_dir, "documents"))
+
+
+def op5_subset_sum_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents of the mixture, with their source and tokens."""
+    return mixing.selection(table(spark, sf_dir, "documents"))
+
+
+def op7_hierarchical_bayes_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's evidence, its site's shares, its posterior and whether it is kept."""
+    return quality_model.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which tokens of every document are in which bin."""
+    return packing.bins(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
+    "op2_string_kernel_language": op2_string_kernel_language,
+    "op5_subset_sum_mixing": op5_subset_sum_mixing,
+    "op7_hierarchical_bayes_quality": op7_hierarchical_bayes_quality,
+    "op8_best_fit_packing": op8_best_fit_packing,
 }
 
 ORACLE_SQL: dict[str, str] = {}
