@@ -279,35 +279,33 @@ def _tile_pairs(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, thr
 
 
 def _tree(hit: np.ndarray, rows: np.ndarray, cols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the hits."""
-    place = {int(x): k for k, x in enumerate(rows)}
-    col_of = {int(x): k for k, x in enumerate(cols)}
-    todo_rows, todo_cols = set(range(len(rows))), np.ones(len(cols), bool)
-    out_i: list[int] = []
-    out_j: list[int] = []
-    while todo_rows:
-        stack = [todo_rows.pop()]
-        if int(rows[stack[0]]) in col_of:
-            todo_cols[col_of[int(rows[stack[0]])]] = False
+    """A spanning forest of the hits; a document may be a row, a column or both."""
+    n = int(max(rows.max(initial=-1), cols.max(initial=-1))) + 1
+    row_of, col_of = np.full(n, -1), np.full(n, -1)
+    row_of[rows], col_of[cols] = np.arange(len(rows)), np.arange(len(cols))
+    across = np.ascontiguousarray(hit.T)
+    todo = np.ones(n, bool)
+    out_i: list[np.ndarray] = []
+    out_j: list[np.ndarray] = []
+    for root in range(n):
+        stack = [root] if todo[root] else []
+        todo[root] = False
         while stack:
-            i = stack.pop()
-            for j in np.flatnonzero(hit[i] & todo_cols):
-                todo_cols[j] = False
-                out_i.append(i)
-                out_j.append(int(j))
-                k = place.get(int(cols[j]))
-                if k is not None and k in todo_rows:
-                    todo_rows.discard(k)
-                    stack.append(k)
-                for up in np.flatnonzero(hit[:, j]):
-                    if int(up) in todo_rows:
-                        todo_rows.discard(int(up))
-                        stack.append(int(up))
-                        out_i.append(int(up))
-                        out_j.append(int(j))
-                        if int(rows[up]) in col_of:
-                            todo_cols[col_of[int(rows[up])]] = False
-    return np.array(out_i, int), np.array(out_j, int)
+            v = stack.pop()
+            i, j = row_of[v], col_of[v]
+            if i >= 0:
+                new = np.flatnonzero(hit[i] & todo[cols])
+                out_i.append(np.full(len(new), i))
+                out_j.append(new)
+                todo[cols[new]] = False
+                stack += cols[new].tolist()
+            if j >= 0:
+                new = np.flatnonzero(across[j] & todo[rows])
+                out_i.append(new)
+                out_j.append(np.full(len(new), j))
+                todo[rows[new]] = False
+                stack += rows[new].tolist()
+    return np.concatenate([np.zeros(0, int), *out_i]).astype(int), np.concatenate([np.zeros(0, int), *out_j]).astype(int)
 
 
 def similar_pairs(docs: DataFrame, *, n: int = NGRAM, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, tolerance: float = TOLERANCE) -> DataFrame:

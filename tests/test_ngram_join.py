@@ -1,0 +1,46 @@
+import numpy as np
+import pytest
+
+from siftstone.llm.ngram_join import _tree
+
+
+def groups(n, pairs):
+    of = list(range(n))
+    for a, b in pairs:
+        x, y = of[a], of[b]
+        of = [min(x, y) if k in (x, y) else k for k in of]
+    return of
+
+
+def check(n, hit, rows, cols):
+    i, j = _tree(hit, rows, cols)
+    assert hit[i, j].all()
+    a, b = np.nonzero(hit)
+    every = groups(n, zip(rows[a], cols[b]))
+    assert groups(n, zip(rows[i], cols[j])) == every
+    assert len(i) == n - len(set(every))
+
+
+def test_shared_column_keeps_its_own_edges():
+    hit = np.zeros((4, 4), bool)
+    hit[0, 3] = hit[2, 3] = hit[1, 2] = True
+    check(4, hit, np.arange(4), np.arange(4))
+
+
+@pytest.mark.parametrize("seed", range(200))
+def test_forest_has_the_components_of_all_hits(seed):
+    draw = np.random.RandomState(seed)
+    n = draw.randint(1, 30)
+    hit = np.triu(draw.rand(n, n) < draw.choice([0.02, 0.05, 0.1, 0.3]), 1)
+    check(n, hit, np.arange(n), np.arange(n))
+    cut = draw.rand(n) < 0.5
+    rows, cols = np.flatnonzero(cut), np.flatnonzero(~cut)
+    check(n, draw.rand(len(rows), len(cols)) < 0.1, rows, cols)
+
+
+def test_chains_in_any_order():
+    for seed in range(50):
+        order = np.random.RandomState(seed).permutation(25)
+        hit = np.zeros((25, 25), bool)
+        hit[np.minimum(order[1:], order[:-1]), np.maximum(order[1:], order[:-1])] = True
+        check(25, hit, np.arange(25), np.arange(25))
