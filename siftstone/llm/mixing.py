@@ -2,10 +2,11 @@
 
 Documents are counted by source and exact token length. A source's share of the
 budget is fitted on those counts: first every length gives about the same
-fraction of its documents, with the rounding carried from length to length, and
-then a bounded-knapsack dynamic programme over the documents left over finds the
-sum nearest to what remains. Last, each length gives that many documents, in
-the order of a seeded hash.
+fraction of its documents, with the rounding carried from length to length.
+Then some of these documents, ``WINDOWS`` tokens or so, are put back, and a
+bounded-knapsack dynamic programme over all that isn't taken finds the sum
+nearest to what remains; more are put back as long as a nearer sum may exist.
+Last, each length gives that many documents, in the order of a seeded hash.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ from siftstone.llm.durable import written
 from siftstone.llm.tokens import VOCABULARY, tokens
 
 SEED = 41
+#: Tokens that are put back for the dynamic programme, the next if the one before leaves a gap. A budget up to the last is fitted exactly.
+WINDOWS = (1 << 12, 1 << 15, 1 << 18)
 
 
 def token_count(text: Column, vocabulary: str = VOCABULARY) -> Column:
@@ -65,6 +68,20 @@ def bounded_knapsack(lengths: list[int], counts: list[int], budget: int) -> list
     return take
 
 
+def _put_back(lengths: np.ndarray, take: np.ndarray, window: int) -> np.ndarray:
+    """Counts of ``take`` that add up to ``window`` tokens or more, of several lengths, short ones first; all if there are fewer."""
+    back = np.zeros(len(take), np.int64)
+    held = 0
+    for part in (8, 1):
+        for k in np.flatnonzero(take > back).tolist():
+            if held >= window:
+                return back
+            n = min(int(take[k] - back[k]), max(1, window // (part * int(lengths[k]))))
+            back[k] += n
+            held += n * int(lengths[k])
+    return take.copy() if held < window else back
+
+
 def fitted(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
     """Counts to take from ascending ``lengths`` for a sum of at most ``budget``, as near as the two steps get."""
     total = int((lengths * counts).sum())
@@ -72,21 +89,28 @@ def fitted(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
     if budget == total:
         return counts.copy()
     order = np.argsort(-lengths, kind="stable")
-    take = np.zeros(len(lengths), np.int64)
+    bulk = np.zeros(len(lengths), np.int64)
     wanted, taken = 0, 0
     for k in order.tolist():
         length, count = int(lengths[k]), int(counts[k])
         wanted += length * count
         n = (wanted * budget // total - taken) // length
-        take[k] = max(0, min(count, n))
-        taken += length * int(take[k])
-    left = counts - take
-    some = order[left[order] > 0]
-    remaining = budget - taken
-    some = some[lengths[some] <= remaining]
-    more = bounded_knapsack([int(x) for x in lengths[some]], [int(x) for x in left[some]], remaining)
-    take[some] += np.array(more, np.int64).reshape(-1)
-    return take
+        bulk[k] = max(0, min(count, n))
+        taken += length * int(bulk[k])
+    most = budget - budget % int(np.gcd.reduce(lengths[counts > 0]))  # no sum is between this and the budget
+    best, reached = bulk, taken
+    for window in WINDOWS:
+        if reached == most:
+            break
+        take = bulk - _put_back(lengths, bulk, window)
+        left = counts - take
+        remaining = budget - int((lengths * take).sum())
+        some = order[(left[order] > 0) & (lengths[order] <= remaining)]
+        more = bounded_knapsack([int(x) for x in lengths[some]], [int(x) for x in left[some]], remaining)
+        take[some] += np.array(more, np.int64).reshape(-1)
+        if (now := int((lengths * take).sum())) > reached:
+            best, reached = take, now
+    return best
 
 
 def budgets(histogram: DataFrame, weights: dict[str | None, float] | None, budget: int | None) -> DataFrame:
