@@ -2,13 +2,18 @@
 
 The kernel of two texts is the blended-spectrum presence kernel: how many
 character 1-, 2- and 3-grams both have, over the root of how many each has.
-A Nyström map on a few landmark texts makes it a finite feature space, in which
-one-versus-rest kernel ridge regression is an ordinary ridge. Scoring a batch
-is two matrix products: presence by landmarks, then by the weights.
+Grams are those of the code points themselves, letters and marks of any script;
+whatever else is between them counts as one word edge. The features are all
+grams of the landmarks, so the kernel with a landmark is exact. A Nyström map
+on a few landmark texts makes it a finite feature space, in which one-versus-rest
+kernel ridge regression is an ordinary ridge. A text's kernel values count which
+landmarks have its grams; scores are a product of these with the weights.
 """
 
 from __future__ import annotations
 
+import unicodedata
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,99 +26,89 @@ from siftstone.llm.textbatch import chunks, plain
 
 #: Labelled texts that are fitted on, at most; the bound of the training sample.
 SAMPLE = 2000
-LANDMARKS, FEATURES, RIDGE, SEED = 128, 8192, 1e-2, 17
+LANDMARKS, RIDGE, SEED = 128, 1e-2, 17
 #: How much better than the declared language another must score before a text is rejected.
 MARGIN = 0.5
 #: Least kernel value with the nearest landmark; below it a text is in none of the languages.
 LEAST_KERNEL = 0.05
 
-_LETTERS = "abcdefghijklmnopqrstuvwxyzßàáâãäåæçèéêëìíîïñòóôõöøùúûüýÿœ"
-_OTHER = 63
-_SIZES = (64, 64**2, 64**3)
-_BLOCK = 64
+_EDGE = 1
+#: Grams whose landmarks are counted at a time.
+_BLOCK = 4096
 
 
 def _classes() -> np.ndarray:
-    """A class below 64 for every code point: 0 no letter, 63 any other letter."""
-    out = np.zeros(0x110000, np.uint8)
-    for c in range(0x110000):
-        if not 0xD800 <= c < 0xE000 and c >= 128 and chr(c).isalpha():
-            out[c] = _OTHER
-    for k, c in enumerate(_LETTERS):
-        out[ord(c)] = k + 1
+    """A code below 2**21 for every code point: its own for letters and marks, else that of a word edge."""
+    out = np.arange(2, 0x110002, dtype=np.int64)
+    out[[c for c in range(0x110000) if unicodedata.category(chr(c))[0] not in "LM"]] = _EDGE
     return out
 
 
 _lookup: list[np.ndarray] = []
 
 
-def grams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Codes of all 1- to 3-grams with their texts' numbers, and which texts have a letter."""
+def grams(texts: pa.Array) -> Iterator[tuple[np.ndarray, bool]]:
+    """For each text the distinct codes of its 1- to 3-grams, ascending, and whether it has a letter.
+
+    Three code points fill 63 bits and no code is 0, so different grams have different codes.
+    """
     if not _lookup:
         _lookup.append(_classes())
-    low = pc.utf8_lower(texts)
-    size = np.asarray(pc.utf8_length(low), dtype=np.int64)
-    points = np.frombuffer("".join(low.to_numpy(zero_copy_only=False)).encode("utf-32-le"), np.uint32)
-    c = _lookup[0][points].astype(np.int32)
-    row = np.repeat(np.arange(len(texts), dtype=np.int32), size)
-    letters = np.zeros(len(texts), bool)
-    letters[row[c > 0]] = True
-    two = row[1:] == row[:-1]
-    three = row[2:] == row[:-2]
-    pair = c[:-1] * 64 + c[1:]
-    triple = pair[:-1] * 64 + c[2:]
-    codes = np.concatenate([c, pair[two] + _SIZES[0], triple[three] + _SIZES[0] + _SIZES[1]])
-    rows = np.concatenate([row, row[1:][two], row[2:][three]])
-    return codes, rows, letters
+    for text in pc.utf8_lower(texts).to_numpy(zero_copy_only=False):
+        c = _lookup[0][np.frombuffer(text.encode("utf-32-le"), np.uint32)]
+        pair = c[:-1] << 21 | c[1:]
+        codes = np.sort(np.concatenate([c, pair, pair[:-1] << 21 | c[2:]]))
+        new = np.ones(len(codes), bool)
+        new[1:] = codes[1:] != codes[:-1]
+        yield codes[new], bool((c != _EDGE).any())
 
 
 @dataclass
 class LanguageModel:
     languages: list[str]
-    feature: np.ndarray  # code -> feature, or -1
-    landmarks: np.ndarray  # features x landmarks, each column over its root count
+    features: np.ndarray  # codes of the landmarks' grams, ascending
+    landmarks: np.ndarray  # for each feature, which landmarks have it, a bit each
+    norms: np.ndarray  # of each landmark, one over the root of its grams
     weights: np.ndarray  # landmarks + 1 x languages
 
-    def presence(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        codes, rows, letters = grams(texts)
-        f = self.feature[codes]
-        p = np.zeros((len(texts), self.landmarks.shape[0]), np.float32)
-        p[rows[f >= 0], f[f >= 0]] = 1
-        return p, letters
-
-    def kernel(self, presence: np.ndarray) -> np.ndarray:
-        return (presence @ self.landmarks) / np.sqrt(np.maximum(presence.sum(1, keepdims=True), 1))
+    def kernel(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Kernel values by text and landmark, and which texts have a letter."""
+        k, letters = np.zeros((len(texts), len(self.norms)), np.float32), np.zeros(len(texts), bool)
+        for row, (codes, some) in enumerate(grams(texts)):
+            letters[row] = some
+            f = np.searchsorted(self.features, codes)
+            f[f == len(self.features)] = 0
+            f = f[self.features[f] == codes]
+            for begin in range(0, len(f), _BLOCK):
+                held = np.unpackbits(self.landmarks[f[begin : begin + _BLOCK]], axis=1, count=len(self.norms)).astype(np.float32)
+                k[row] += np.ones(len(held), np.float32) @ held
+            k[row] /= np.sqrt(max(len(codes), 1))
+        return k * self.norms, letters
 
     def scores(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Scores by text and language, and whether the text is near any landmark."""
         out, known = np.zeros((len(texts), len(self.languages))), np.zeros(len(texts), bool)
-        for at, big in chunks(texts):
-            for begin in range(0, len(big), _BLOCK):
-                p, letters = self.presence(big.slice(begin, _BLOCK))
-                k = self.kernel(p)
-                span = slice(at + begin, at + begin + len(p))
-                out[span] = k @ self.weights[:-1] + self.weights[-1]
-                known[span] = letters & (k.max(1) >= LEAST_KERNEL)
+        for begin, part in chunks(texts):
+            k, letters = self.kernel(part)
+            span = slice(begin, begin + len(part))
+            out[span] = k @ self.weights[:-1] + self.weights[-1]
+            known[span] = letters & (k.max(1) >= LEAST_KERNEL)
         return out, known
 
 
-def fit(texts: list[str], labels: list[str], *, landmarks: int = LANDMARKS, features: int = FEATURES, ridge: float = RIDGE) -> LanguageModel:
-    """Features are the commonest n-grams; landmarks are the first texts of each language in turn."""
-    all_ = pa.array(texts, pa.string())
-    codes, rows, _ = grams(all_)
-    seen = np.unique(codes.astype(np.int64) * len(texts) + rows) // len(texts)
-    found, count = np.unique(seen, return_counts=True)
-    chosen = np.sort(found[np.argsort(-count, kind="stable")[:features]])
-    feature = np.full(sum(_SIZES), -1, np.int32)
-    feature[chosen] = np.arange(len(chosen))
+def fit(texts: list[str], labels: list[str], *, landmarks: int = LANDMARKS, ridge: float = RIDGE) -> LanguageModel:
+    """Landmarks are the first texts of each language in turn; features are all their n-grams."""
     languages = sorted(set(labels))
     by = [[k for k, x in enumerate(labels) if x == lang] for lang in languages]
     turns = [g[r] for r in range(max(map(len, by))) for g in by if r < len(g)][:landmarks]
-    model = LanguageModel(languages, feature, np.zeros((len(chosen), 1), np.float32), np.zeros((2, len(languages))))
-    p, _ = model.presence(all_)
-    mark = p[turns].T
-    model.landmarks = (mark / np.sqrt(np.maximum(mark.sum(0), 1))).astype(np.float32)
-    k = model.kernel(p).astype(np.float64)
+    marks = [codes for codes, _ in grams(pa.array([texts[k] for k in turns], pa.string()))]
+    features = np.unique(np.concatenate(marks))
+    mark = np.zeros((len(features), len(turns)), bool)
+    for n, codes in enumerate(marks):
+        mark[np.searchsorted(features, codes), n] = True
+    norms = np.array([1 / np.sqrt(len(codes)) for codes in marks], np.float32)
+    model = LanguageModel(languages, features, np.packbits(mark, axis=1), norms, np.zeros((2, len(languages))))
+    k = model.kernel(pa.array(texts, pa.string()))[0].astype(np.float64)
     value, vector = np.linalg.eigh((k[turns] + k[turns].T) / 2)
     keep = value > 1e-6 * value.max()
     root = vector[:, keep] / np.sqrt(value[keep])
