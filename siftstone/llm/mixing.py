@@ -20,6 +20,8 @@ from siftstone.llm.durable import written
 from siftstone.llm.tokens import VOCABULARY, tokens
 
 SEED = 41
+#: Production: a source weighs its tokens to the power POWER (1: as it comes, 0: all the same), the mixture has SHARE of the corpus's tokens.
+POWER, SHARE = 0.7, 0.8
 #: Tokens that are put back for the dynamic programme, the next if the one before leaves a gap. A budget up to the last is fitted exactly.
 WINDOWS = (1 << 12, 1 << 15, 1 << 18)
 
@@ -113,27 +115,29 @@ def fitted(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
     return best
 
 
-def budgets(histogram: DataFrame, weights: dict[str | None, float] | None, budget: int | None) -> DataFrame:
-    """``(source, budget)``: by default the largest whole budget that no source falls short of."""
+def budgets(histogram: DataFrame, weights: dict[str | None, float] | None, budget: int | None, power: float = 0.0, share: float | None = None) -> DataFrame:
+    """``(source, budget)``: without ``budget`` and ``share`` the largest whole budget that no source falls short of."""
     have = histogram.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("many")).alias("have"))
     spark = histogram.sparkSession
     if weights is None:
-        weighed = have.withColumn("weight", F.lit(1.0))
+        weighed = have.withColumn("weight", F.round(F.pow(F.col("have"), F.lit(float(power)))))  # whole, so that sums don't hang on their order
     else:
         given = spark.createDataFrame([(k, float(v)) for k, v in weights.items()] or [], "source string, weight double")
         weighed = have.alias("h").join(given.alias("g"), F.col("h.source").eqNullSafe(F.col("g.source"))).select("h.source", "have", "weight").where("weight > 0")
-    weighed = weighed.crossJoin(F.broadcast(weighed.agg(F.sum("weight").alias("all"), F.min(F.col("have") / F.col("weight")).alias("least"))))
-    share = F.floor(F.col("weight") * F.col("least")) if budget is None else F.floor(F.lit(float(budget)) * F.col("weight") / F.col("all"))
-    return weighed.select("source", share.cast("bigint").alias("budget"))
+    weighed = weighed.crossJoin(F.broadcast(weighed.agg(F.sum("weight").alias("all"), F.min(F.col("have") / F.col("weight")).alias("least"), F.sum("have").alias("tokens"))))
+    whole = F.lit(float(budget)) if budget is not None else F.floor(F.lit(float(share)) * F.col("tokens")) if share is not None else None
+    own = F.floor(F.col("weight") * F.col("least")) if whole is None else F.floor(whole * F.col("weight") / F.col("all"))
+    return weighed.select("source", own.cast("bigint").alias("budget"))
 
 
-def selection(docs: DataFrame, *, weights: dict[str | None, float] | None = None, budget: int | None = None, seed: int = SEED, vocabulary: str = VOCABULARY) -> DataFrame:
+def selection(docs: DataFrame, *, weights: dict[str | None, float] | None = None, budget: int | None = None, power: float = 0.0, share: float | None = None, seed: int = SEED, vocabulary: str = VOCABULARY) -> DataFrame:
     """``(doc_id, source, n_tokens)`` of the documents in the mixture.
 
-    ``weights`` gives each source's share of tokens (without it, all sources
-    weigh the same; sources that aren't named, or have no positive weight, are
-    left out); ``budget`` is the mixture's tokens, by default as many as the
-    weights allow. A source short of its budget gives all it has. Rows of one id
+    ``weights`` gives each source's share of tokens (without it, a source weighs
+    its tokens to the power ``power``, by default all the same; sources that
+    aren't named, or have no positive weight, are left out); ``budget`` is the
+    mixture's tokens, or ``share`` what it has of the tokens of all weighed
+    sources; without both it has as many as the weights allow. A source short of its budget gives all it has. Rows of one id
     are one document: their tokens add up and the least source counts. Null and
     empty texts have no tokens and are left out; a null source or id is a value
     like any other. Ties of the seeded hash go to the lower id. An empty table
@@ -143,7 +147,7 @@ def selection(docs: DataFrame, *, weights: dict[str | None, float] | None = None
     slim = slim.groupBy("doc_id").agg(F.min("source").alias("source"), F.sum("n").alias("n_tokens")).where("n_tokens > 0")
     slim = written(slim, "lengths")
     histogram = slim.groupBy("source", "n_tokens").agg(F.count("*").alias("many"))
-    share = budgets(histogram, weights, budget)
+    own = budgets(histogram, weights, budget, power, share)
 
     def fit(group: pa.Table) -> pa.Table:
         order = np.argsort(group.column("n_tokens").to_numpy(), kind="stable")
@@ -151,7 +155,7 @@ def selection(docs: DataFrame, *, weights: dict[str | None, float] | None = None
         take = fitted(lengths, many, group.column("budget")[0].as_py())
         return pa.table({"source": group.column("source").take(pa.array(order)), "n_tokens": pa.array(lengths), "take": pa.array(take)})
 
-    joined = histogram.alias("h").join(share.alias("b"), F.col("h.source").eqNullSafe(F.col("b.source"))).select("h.source", "n_tokens", "many", "budget")
+    joined = histogram.alias("h").join(own.alias("b"), F.col("h.source").eqNullSafe(F.col("b.source"))).select("h.source", "n_tokens", "many", "budget")
     takes = written(joined.groupBy("source").applyInArrow(fit, "source string, n_tokens bigint, take bigint").where("take > 0"), "takes")
     place = F.row_number().over(Window.partitionBy("source", "n_tokens").orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id"))
     ranked = slim.withColumn("place", place)

@@ -22,7 +22,7 @@ def op2_string_kernel_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_subset_sum_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents of the mixture, with their source and tokens."""
-    return mixing.selection(table(spark, sf_dir, "documents"))
+    return mixing.selection(table(spark, sf_dir, "documents"), power=mixing.POWER, share=mixing.SHARE)
 
 
 def op7_hierarchical_bayes_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

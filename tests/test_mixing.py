@@ -1,6 +1,7 @@
 import numpy as np
 import pytest
 
+import corpus_pipeline
 from siftstone.llm.mixing import WINDOWS, fitted
 
 
@@ -38,3 +39,11 @@ def test_large_budget_is_met_and_stays_proportional():
         half = len(lengths) // 2
         share = take[half:] @ lengths[half:] / (counts[half:] @ lengths[half:])
         assert abs(share - budget / total) < 2 * WINDOWS[0] / total + 0.01
+
+
+def test_tiny_source_does_not_shrink_the_pipelines_mixture(spark):
+    hot = [(k, f"some words of document {k} in the hot source", "hot") for k in range(400)]
+    docs = spark.createDataFrame([*hot, (1000, "tiny", "small"), (1001, "a text without a source", None)], "doc_id bigint, text string, source string")
+    got = {r.doc_id for r in corpus_pipeline.mixture(spark, docs, "").select("doc_id").collect()}
+    assert {1000, 1001} <= got
+    assert len(got) > 300
