@@ -1,0 +1,28 @@
+import subprocess
+import sys
+from pathlib import Path
+
+REPO = Path(__file__).resolve().parents[1]
+SCRIPT = """
+import os, sys
+sys.path[:0] = [%r]
+import siftstone
+siftstone.__path__.append(os.getcwd())
+import __spark_entry__ as e
+print(e._catalogue())
+"""
+
+
+def catalogue(folder):
+    return subprocess.run([sys.executable, "-B", "-c", SCRIPT % str(REPO)], cwd=folder, capture_output=True, text=True)
+
+
+def test_broken_import_in_an_existing_catalogue_is_an_error(tmp_path):
+    (tmp_path / "plans").mkdir()
+    (tmp_path / "plans/__init__.py").write_text("")
+    (tmp_path / "plans/catalogue.py").write_text("import no_such_module_at_all")
+    assert "no_such_module_at_all" in catalogue(tmp_path).stderr
+
+
+def test_no_catalogue_is_none(tmp_path):
+    assert catalogue(tmp_path).stdout.strip() == "None"
