@@ -19,13 +19,15 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftstone.llm.textbatch import chunks, plain
 
 #: Labelled texts that are fitted on, at most; the bound of the training sample.
 SAMPLE = 2000
+#: Of these, texts of one language, at most.
+PER_LANGUAGE = 500
 LANDMARKS, RIDGE, SEED = 128, 1e-2, 17
 #: How much better than the declared language another must score before a text is rejected.
 MARGIN = 0.5
@@ -123,10 +125,16 @@ def fit(texts: list[str], labels: list[str], *, landmarks: int = LANDMARKS, ridg
     return model
 
 
-def train(docs: DataFrame, *, sample: int = SAMPLE, seed: int = SEED, text: str = "text", label: str = "lang") -> LanguageModel | None:
-    """A model of at most ``sample`` labelled texts, those of the least seeded hashes; None if there are none."""
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("id"), F.col(label).alias("label"), F.xxhash64(F.lit(seed), "doc_id").alias("h")).where("id is not null and label is not null")
-    ids = [r.id for r in rows.orderBy("h", "id").limit(sample).collect()]
+def train(docs: DataFrame, *, sample: int = SAMPLE, per_language: int = PER_LANGUAGE, seed: int = SEED, text: str = "text", label: str = "lang") -> LanguageModel | None:
+    """A model of at most ``sample`` labelled texts and ``per_language`` of each language; None if there are none.
+
+    Of each language those of the least seeded hashes, the languages in turn, so
+    that a rare one has its texts in the sample.
+    """
+    rows = docs.where("doc_id is not null").where(F.col(label).isNotNull() & (F.length(F.trim(F.col(text))) > 0))
+    rows = rows.select(F.col("doc_id").cast("bigint").alias("id"), F.col(label).alias("label"), F.xxhash64(F.lit(seed), "doc_id").alias("h"))
+    rows = rows.withColumn("turn", F.row_number().over(Window.partitionBy("label").orderBy("h", "id"))).where(F.col("turn") <= per_language)
+    ids = sorted({r.id for r in rows.orderBy("turn", "h", "id").limit(sample).collect()})
     picked = docs.where(F.col("doc_id").isin(ids)).select(F.col(text).alias("text"), F.col(label).alias("label"), F.xxhash64(F.lit(seed), "doc_id").alias("h"))
     got = sorted((r.h, r.label, r.text) for r in picked.where("text is not null and label is not null and length(trim(text)) > 0").collect())
     return fit([r[2] for r in got], [r[1] for r in got]) if got else None

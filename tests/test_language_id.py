@@ -2,7 +2,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from siftstone.llm.language_id import MARGIN, fit
+from siftstone.llm.language_id import MARGIN, fit, train
 
 TEXTS = {
     "ru": ["это было очень хорошее утро и мы пошли в город", "он сказал что завтра будет дождь и ветер", "мы ещё не знаем где она живёт сейчас", "книга лежит на столе возле окна"],
@@ -46,3 +46,11 @@ def test_kernel_is_the_blended_spectrum_one():
             a, b = spectrum(x), spectrum(y)
             assert np.isclose(k[i, j], len(a & b) / np.sqrt(max(1, len(a)) * len(b)), atol=1e-5)
     assert letters.tolist() == [True] * 4 + [False]
+
+
+def test_rare_language_is_in_the_bounded_sample(spark):
+    rows = [(k, f"the common text number {k} of many", "en") for k in range(300)]
+    docs = spark.createDataFrame([*rows, (1000, TEXTS["el"][0], "el"), (1001, "", "fr")], "doc_id bigint, text string, lang string")
+    model = train(docs, sample=20)
+    assert model.languages == ["el", "en"]
+    assert len(model.norms) <= 20
