@@ -153,8 +153,11 @@ def _binary_rows(column: pa.Array | pa.ChunkedArray, kind: type) -> np.ndarray:
     return raw.view(kind).reshape(len(at) - 1, -1)
 
 
-def candidate_blocks(docs: DataFrame, *, n: int, threshold: float, bands: int, rows: int, tolerance: float) -> tuple[DataFrame, DataFrame]:
-    """``members(doc_id, rep)`` of all documents with words, and ``blocks(id, component)`` of the candidate classes."""
+def candidate_blocks(docs: DataFrame, *, n: int, threshold: float, bands: int, rows: int, tolerance: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``members(doc_id, rep, leader)`` of all documents with words, ``classes(rep, d1, d2, leader)``, and ``blocks(id, component)`` of the candidate classes.
+
+    A class is one digest pair; ``rep`` is its number and ``leader`` its least document.
+    """
     total = bands * rows
     least = least_matches(threshold, tolerance, total)
 
@@ -182,9 +185,11 @@ def candidate_blocks(docs: DataFrame, *, n: int, threshold: float, bands: int, r
 
     spark = docs.sparkSession
     signed = written(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null").mapInArrow(sign, "doc_id bigint, d1 bigint, d2 bigint, sig binary, keys binary"), "signed")
-    same = Window.partitionBy("d1", "d2")
-    members = written(signed.select("doc_id", F.min("doc_id").over(same).alias("rep")).distinct(), "members")
-    classes = signed.join(members.where("doc_id = rep").select("doc_id"), "doc_id", "left_semi")
+    # texts of one digest pair have the same words, so any signature is the class's
+    classes = signed.groupBy("d1", "d2").agg(F.min("doc_id").alias("leader"), F.first("sig").alias("sig"), F.first("keys").alias("keys"))
+    classes = written(classes.withColumn("rep", F.monotonically_increasing_id()), "classes")
+    named = classes.select("rep", "d1", "d2", "leader")
+    members = written(signed.select("doc_id", "d1", "d2").distinct().join(named, ["d1", "d2"]).select("doc_id", "rep", "leader"), "members")
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -195,9 +200,9 @@ def candidate_blocks(docs: DataFrame, *, n: int, threshold: float, bands: int, r
                     ["rep", "band", "key"],
                 )
 
-    met = classes.select("doc_id", "keys").mapInArrow(explode, "rep bigint, band smallint, key int").distinct()
+    met = classes.select("rep", "keys").mapInArrow(explode, "rep bigint, band smallint, key int").distinct()
     met = written(met.withColumn("many", F.count("*").over(Window.partitionBy("band", "key"))).where("many > 1").drop("many"), "met")
-    signs = classes.select(F.col("doc_id").alias("rep"), "sig").dropDuplicates(["rep"])
+    signs = classes.select("rep", "sig")
 
     def edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, starts in _groups(batches, ["band", "key"]):
@@ -206,11 +211,11 @@ def candidate_blocks(docs: DataFrame, *, n: int, threshold: float, bands: int, r
                 yield pa.record_batch([pa.array(a), pa.array(b)], ["a", "b"])
 
     placed = met.join(signs, "rep").repartition("band", "key").sortWithinPartitions("band", "key", "rep")
-    return members, components(placed.mapInArrow(edges, "a bigint, b bigint"))
+    return members, named, components(placed.mapInArrow(edges, "a bigint, b bigint"))
 
 
-def verified_pairs(docs: DataFrame, blocks: DataFrame, *, n: int, threshold: float, connect_only: bool = False) -> DataFrame:
-    """``(a, b, jaccard)``, a < b: the pairs of each block whose shingle sets reach the threshold.
+def verified_pairs(docs: DataFrame, classes: DataFrame, blocks: DataFrame, *, n: int, threshold: float, connect_only: bool = False) -> DataFrame:
+    """``(a, b, jaccard)``, a < b: the pairs of classes of each block whose shingle sets reach the threshold.
 
     ``connect_only`` leaves out pairs that others of the same tile connect
     already, so that a block of thousands of copies gives a tree, not a square.
@@ -238,8 +243,18 @@ def verified_pairs(docs: DataFrame, blocks: DataFrame, *, n: int, threshold: flo
     sized = sized.withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int"))
     every = F.sequence(F.lit(0), F.col("tiles") - 1)
     spread = sized.withColumn("other", F.explode(every)).select("id", "component", "tile", F.least("tile", "other").alias("left"), F.greatest("tile", "other").alias("right"))
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("id"), F.col("text").cast("string").alias("text"))
-    held = spread.join(texts.join(blocks.select("id"), "id", "left_semi").dropDuplicates(["id"]), "id")
+
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for begin, part in chunks(plain(batch.column(1)), 16 << 20):
+                d1, d2 = sequence_digests(part)
+                yield pa.record_batch([batch.column(0).slice(begin, len(part)), pa.array(d1), pa.array(d2), part], ["leader", "d1", "d2", "text"])
+
+    key = ["leader", "d1", "d2"]
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("id"), F.col("text").cast("string").alias("text")).where("id is not null")
+    texts = texts.mapInArrow(digest, "leader bigint, d1 bigint, d2 bigint, text string")
+    texts = texts.join(classes.join(blocks.select(F.col("id").alias("rep")), "rep", "left_semi"), key, "left_semi").dropDuplicates(key)
+    held = spread.join(classes.withColumnRenamed("rep", "id"), "id").join(texts, key).select("id", "component", "tile", "left", "right", "text")
     held = held.repartition("component", "left", "right").sortWithinPartitions("component", "left", "right", "id")
     return held.mapInArrow(tiles, "a bigint, b bigint, jaccard double")
 
@@ -315,12 +330,12 @@ def similar_pairs(docs: DataFrame, *, n: int = NGRAM, threshold: float = THRESHO
     count as similarity 1. Reads ``doc_id`` and ``text``; other columns may have
     any name. Null ids and texts that are null, empty or without a word join
     nothing; a text of fewer than ``n`` words has one shingle; repeated rows of
-    one id are one document (of several texts under one id, each is a query and
-    any text decides for the verification). An empty table gives no rows.
+    one id are one document (of several texts under one id each is a query, and
+    the most similar ones decide). An empty table gives no rows.
     """
-    members, blocks = candidate_blocks(docs, n=n, threshold=threshold, bands=bands, rows=rows, tolerance=tolerance)
-    members, blocks = written(members, "members"), written(blocks, "blocks")
-    classes = verified_pairs(docs, blocks, n=n, threshold=threshold).distinct()
+    members, named, blocks = candidate_blocks(docs, n=n, threshold=threshold, bands=bands, rows=rows, tolerance=tolerance)
+    blocks = written(blocks, "blocks")
+    classes = verified_pairs(docs, named, blocks, n=n, threshold=threshold).distinct()
     a = members.select(F.col("rep").alias("a"), F.col("doc_id").alias("x"))
     b = members.select(F.col("rep").alias("b"), F.col("doc_id").alias("y"))
     across = classes.join(a, "a").join(b, "b").select("x", "y", "jaccard")
@@ -335,10 +350,12 @@ def duplicate_groups(docs: DataFrame, *, n: int = NGRAM, threshold: float = THRE
 
     Nulls, empty and short texts and repeated rows as in :func:`similar_pairs`.
     """
-    members, blocks = candidate_blocks(docs, n=n, threshold=threshold, bands=bands, rows=rows, tolerance=tolerance)
+    members, named, blocks = candidate_blocks(docs, n=n, threshold=threshold, bands=bands, rows=rows, tolerance=tolerance)
     blocks = written(blocks, "blocks")
-    near = verified_pairs(docs, blocks, n=n, threshold=threshold, connect_only=True).select("a", "b")
-    same = members.where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
+    near = verified_pairs(docs, named, blocks, n=n, threshold=threshold, connect_only=True).select("a", "b")
+    for side in ("a", "b"):
+        near = near.join(named.select(F.col("rep").alias(side), F.col("leader").alias(f"{side}_")), side).drop(side).withColumnRenamed(f"{side}_", side)
+    same = members.where("doc_id <> leader").select(F.col("leader").alias("a"), F.col("doc_id").alias("b"))
     return components(near.unionByName(same)).select(F.col("id").alias("doc_id"), F.col("component").alias("group_id"))
 
 

@@ -119,10 +119,11 @@ def shingles(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def sequence_digests(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Two 64-bit digests of each text's words in their order."""
-    w, at = words(texts)
-    out = []
-    for salt in (_U(0), _U(0xD6E8FEB86659FD93)):
+    out = [[np.zeros(0, np.int64)], [np.zeros(0, np.int64)]]
+    for _, part in chunks(texts):
+        w, at = words(part)
         place = np.arange(len(w), dtype=np.uint64) - np.repeat(at[:-1], np.diff(at)).astype(np.uint64)
-        total = np.concatenate([[_U(0)], np.cumsum(mixed(mixed(w ^ salt) + place * _U(_BASE)))])
-        out.append(mixed(total[at[1:]] - total[at[:-1]] + np.diff(at).astype(np.uint64)).view(np.int64))
-    return out[0], out[1]
+        for k, salt in enumerate((_U(0), _U(0xD6E8FEB86659FD93))):
+            total = np.concatenate([[_U(0)], np.cumsum(mixed(mixed(w ^ salt) + place * _U(_BASE)))])
+            out[k].append(mixed(total[at[1:]] - total[at[:-1]] + np.diff(at).astype(np.uint64)).view(np.int64))
+    return np.concatenate(out[0]), np.concatenate(out[1])

@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from siftstone.llm.ngram_join import _tree
+from siftstone.llm.ngram_join import _tree, duplicate_groups, similar_pairs
 
 
 def groups(n, pairs):
@@ -44,3 +44,15 @@ def test_chains_in_any_order():
         hit = np.zeros((25, 25), bool)
         hit[np.minimum(order[1:], order[:-1]), np.maximum(order[1:], order[:-1])] = True
         check(25, hit, np.arange(25), np.arange(25))
+
+
+def test_each_text_of_an_id_is_a_query(spark):
+    one = "the first of two texts that share an id with nothing else in common"
+    two = "quite another piece about ships in a harbour on some winter evening long ago"
+    near = two + " indeed"
+    docs = spark.createDataFrame([(1, one), (1, two), (2, one), (3, two), (4, near), (5, "alone here")], "doc_id bigint, text string")
+    got = {(r.doc_id_a, r.doc_id_b): r.jaccard for r in similar_pairs(docs).collect()}
+    assert set(got) == {(1, 2), (1, 3), (1, 4), (3, 4)}
+    assert got[1, 2] == got[1, 3] == 1.0
+    assert got[3, 4] == got[1, 4] < 1.0
+    assert {(r.doc_id, r.group_id) for r in duplicate_groups(docs).collect()} == {(k, 1) for k in (1, 2, 3, 4)}
