@@ -1,7 +1,6 @@
-"""Training-data operators: Spark operators 1, 2, 5, 7 and 8 over a corpus of documents.
+"""Training-data operators: ten Spark operators over a corpus of documents, pages and recordings.
 
 Nothing outside this folder but ``corpus_pipeline.py`` and the driver's entry
 imports it. Every operator takes DataFrames and returns a DataFrame;
-``queries.py`` applies each to its whole table. Operators 3, 4, 6, 9 and 10 are
-missing; the README lists them.
+``queries.py`` applies each to its whole table.
 """

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siftstone.llm import language_id, mixing, ngram_join, packing, quality_model
+from siftstone.llm import language_id, line_rules, mixing, ngram_join, packing, quality_model, sharding, telephony, token_table, url_filter
 from siftstone.llm.durable import table
 
 
@@ -20,11 +20,27 @@ def op2_string_kernel_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identified(table(spark, sf_dir, "documents"))
 
 
+def op3_url_language_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's URL with its score, probability and verdict; labels are weak ones, of the pages' text."""
+    pages = table(spark, sf_dir, "pages")
+    return url_filter.scored_urls(pages, url_filter.weak_labels(pages))
+
+
+def op4_line_first_cleaning(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that stay, without the lines that fail."""
+    return line_rules.cleaned(table(spark, sf_dir, "documents"))
+
+
 def op5_subset_sum_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents of the mixture, with their source and tokens."""
     return mixing.selection(table(spark, sf_dir, "documents"), power=mixing.POWER, share=mixing.SHARE)
 
 
+def op6_orc_token_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The token ids of all documents, written as ORC and read again."""
+    return token_table.round_trip(table(spark, sf_dir, "documents"))
+
+
 def op7_hierarchical_bayes_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's evidence, its site's shares, its posterior and whether it is kept."""
     return quality_model.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -35,12 +51,19 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.bins(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
-    "op2_string_kernel_language": op2_string_kernel_language,
-    "op5_subset_sum_mixing": op5_subset_sum_mixing,
-    "op7_hierarchical_bayes_quality": op7_hierarchical_bayes_quality,
-    "op8_best_fit_packing": op8_best_fit_packing,
-}
+def op9_telephony_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's bytes as a recording, decoded to 16 kHz PCM: there is no table of recordings."""
+    return telephony.decoded(telephony.payloads(table(spark, sf_dir, "documents")))
+
+
+def op10_minimax_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shard of every document, the largest as small as can be."""
+    return sharding.shards(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
+    op1_ngram_jaccard_join, op2_string_kernel_language, op3_url_language_models, op4_line_first_cleaning, op5_subset_sum_mixing,
+    op6_orc_token_table, op7_hierarchical_bayes_quality, op8_best_fit_packing, op9_telephony_audio, op10_minimax_shards,
+)}
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op4_line_first_cleaning": line_rules.SQL, "op10_minimax_shards": sharding.SQL}
