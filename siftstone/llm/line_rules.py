@@ -58,7 +58,7 @@ def cleaned(docs: DataFrame, *, most_lost: float = MOST_LOST) -> DataFrame:
     lines = F.filter(F.transform(F.split(F.col("text").cast("string"), _BREAK), lambda x: F.btrim(x, F.lit(_SPACE))), lambda x: x != "")
     cut = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), lines.alias("lines"))
     judged = cut.select("doc_id", "lines", F.array_distinct(F.filter("lines", line_passes)).alias("kept"))
-    sizes = F.length(F.array_join("kept", "")) / F.length(F.array_join("lines", ""))
+    sizes = F.try_divide(F.length(F.array_join("kept", "")), F.length(F.array_join("lines", "")))
     # a generated row is judged once: filters aren't pushed below it with all their expressions
     row = F.struct(F.array_join("kept", "\n").alias("text"), F.size("lines").alias("n_lines"), F.size("kept").alias("n_kept"), sizes.alias("kept_share"))
     out = judged.where("lines is not null").select("doc_id", F.explode(F.array(row)).alias("row")).select("doc_id", "row.*")

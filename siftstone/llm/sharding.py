@@ -104,11 +104,13 @@ def minimax_cuts(sums: DataFrame, total: int, largest: int, shards: int, known:
                 yield pa.record_batch([pa.array(k), pa.array((upto - begins[k] - 1) // width), pa.array(upto)], ["k", "part", "upto"])
 
         found = sums.select("upto").mapInArrow(slot, "k bigint, part bigint, upto bigint")
-        rows = found.groupBy("k", "part").agg(F.max("upto").alias("upto"), F.count("*").alias("many")).toArrow()
-        at, many = rows.column("upto").to_numpy(), rows.column("many").to_numpy()
+        rows = found.groupBy("k", "part").agg(F.min("upto").alias("first"), F.max("upto").alias("last"), F.count("*").alias("many")).toArrow()
+        many = rows.column("many").to_numpy()
+        # nothing is between a part's first border and the one before it
+        at = np.concatenate([rows.column("first").to_numpy(), rows.column("last").to_numpy()[many > 1]])
         old = np.ones(len(places.at), bool)
         old[here] = False  # they come back as the last of their stretch
-        at, loose = np.concatenate([places.at[old], at]), np.concatenate([places.loose[old], many > 1])
+        at, loose = np.concatenate([places.at[old], at]), np.concatenate([places.loose[old], np.zeros(len(many), bool), many[many > 1] > 2])
         order = np.argsort(at, kind="stable")
         places = Places(at[order], loose[order])
 
