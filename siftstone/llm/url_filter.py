@@ -127,11 +127,19 @@ def calibrated(score: np.ndarray, good: np.ndarray, weight: np.ndarray, rounds:
     up, down = float(weight[good].sum()), float(weight[~good].sum())
     target = np.where(good, (up + 1) / (up + 2), 1 / (down + 2))
     z = np.column_stack([score, np.ones(len(score))])
-    w = np.array([1.0, np.log((up + 1) / (down + 1))])
+    ridge = np.array([1e-3, 1e-6])
+
+    def loss(w: np.ndarray) -> float:
+        x = z @ w
+        return float((weight * (np.logaddexp(0, x) - target * x)).sum() + (ridge * w * w).sum() / 2)
+
+    w = np.array([0.0, np.log((up + 1) / (down + 1))])
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-        step = np.linalg.solve((z * (weight * np.maximum(p * (1 - p), 1e-9))[:, None]).T @ z + np.diag([1e-3, 1e-6]), z.T @ (weight * (target - p)) - np.array([1e-3 * w[0], 0]))
-        w = w + step * min(1.0, 20 / max(1e-9, np.abs(step).max()))
+        step = np.linalg.solve((z * (weight * p * (1 - p))[:, None]).T @ z + np.diag(ridge), z.T @ (weight * (target - p)) - ridge * w)
+        while loss(w + step) > loss(w) and np.abs(step).max() > 1e-9:
+            step = step / 2
+        w = w + step
         if np.abs(step).max() < 1e-7:
             break
     return (float(w[0]), float(w[1])) if w[0] > 0 else (0.0, float(np.log((up + 1) / (down + 1))))
