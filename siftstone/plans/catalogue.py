@@ -226,18 +226,21 @@ def token_scan(spark, sf):
 
 
 # --- imports and packages -----------------------------------------------------------------------------------------------
-_IMPORT_COLUMNS = ("path", "source", F.array_join("specifiers", ",").alias("specifiers"), "is_dynamic", "is_type_only", "line", "column", "raw")
+def _import_columns(df: DataFrame) -> DataFrame:
+    return df.select("path", "source", F.array_join("specifiers", ",").alias("specifiers"), "is_dynamic", "is_type_only", "line", "column", "raw")
+
+
 _IMPORT_SQL = f'{_BASE}, {_IMPORTS} SELECT path, source, specifiers, is_dynamic, is_type_only, line::INTEGER AS line, "column"::INTEGER AS "column", raw FROM imports'
 
 
 @query(_IMPORT_SQL)
 def imports_regex(spark, sf):
-    return scan.imports(src_files(spark, sf), strategy="regex").select(*_IMPORT_COLUMNS)
+    return _import_columns(scan.imports(src_files(spark, sf), strategy="regex"))
 
 
 @query(_IMPORT_SQL + " WHERE NOT is_type_only AND NOT is_dynamic")
 def imports_masked_static(spark, sf):
-    return scan.imports(src_files(spark, sf), types=False, dynamic=False).select(*_IMPORT_COLUMNS)
+    return _import_columns(scan.imports(src_files(spark, sf), types=False, dynamic=False))
 
 
 @query(f'{_BASE}, {_IMPORTS}, {_MERGED} SELECT path, source, array_to_string(specifiers, \',\') AS specifiers, is_dynamic, is_type_only, line::INTEGER AS line, "column"::INTEGER AS "column" FROM merged')
