@@ -136,7 +136,9 @@ def train(docs: DataFrame, *, sample: int = SAMPLE, per_language: int = PER_LANG
     rows = rows.withColumn("turn", F.row_number().over(Window.partitionBy("label").orderBy("h", "id"))).where(F.col("turn") <= per_language)
     ids = sorted({r.id for r in rows.orderBy("turn", "h", "id").limit(sample).collect()})
     picked = docs.where(F.col("doc_id").isin(ids)).select(F.col(text).alias("text"), F.col(label).alias("label"), F.xxhash64(F.lit(seed), "doc_id").alias("h"))
-    got = sorted((r.h, r.label, r.text) for r in picked.where("text is not null and label is not null and length(trim(text)) > 0").collect())
+    # one text of each id and language, so that repeated rows don't add to what is collected
+    picked = picked.where("text is not null and label is not null and length(trim(text)) > 0").groupBy("h", "label").agg(F.min("text").alias("text"))
+    got = sorted((r.h, r.label, r.text) for r in picked.collect())
     return fit([r[2] for r in got], [r[1] for r in got]) if got else None
 
 
@@ -170,7 +172,9 @@ def identified(docs: DataFrame, **parameters: int) -> DataFrame:
     unknown declaration contradicts nothing. Null and empty texts, and those
     without a letter, have no language and aren't accepted. Whole texts are
     read. Repeated rows give equal rows; ties go to the first language by name.
-    With no labelled text at all, every ``predicted`` is null.
+    Texts of any length are read whole, at about 55 bytes of memory a character.
+    Other columns may have any name; an empty table gives no rows. With no
+    labelled text at all, every ``predicted`` is null.
     """
     model = train(docs, **parameters)
     if model is None:

@@ -331,7 +331,11 @@ def similar_pairs(docs: DataFrame, *, n: int = NGRAM, threshold: float = THRESHO
     any name. Null ids and texts that are null, empty or without a word join
     nothing; a text of fewer than ``n`` words has one shingle; repeated rows of
     one id are one document (of several texts under one id each is a query, and
-    the most similar ones decide). An empty table gives no rows.
+    the most similar ones decide). Texts of any length are read whole; a
+    similarity of just ``threshold`` counts. An empty table gives no rows.
+    The search is approximate: measured on planted pairs it finds 0.91 of those
+    of similarity 0.50 to 0.52, 0.96 of those up to 0.55 and 0.98 up to 0.65;
+    every pair it gives is verified.
     """
     members, named, blocks = candidate_blocks(docs, n=n, threshold=threshold, bands=bands, rows=rows, tolerance=tolerance)
     blocks = written(blocks, "blocks")
@@ -363,3 +367,18 @@ def without_duplicates(docs: DataFrame, **parameters: float) -> DataFrame:
     """``docs`` with one document of each group: that of the least id. Rows that join nothing stay, null ids among them."""
     dropped = duplicate_groups(docs, **parameters).where("doc_id <> group_id").select("doc_id")
     return docs.join(dropped, docs["doc_id"].cast("bigint") == dropped["doc_id"], "left_anti")
+
+
+#: All pairs by their shared shingles, exact.
+SQL = f"""
+WITH worded AS MATERIALIZED (
+  SELECT doc_id, regexp_extract_all(lower(text), '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+') AS w FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+grams AS MATERIALIZED (
+  SELECT DISTINCT doc_id, g FROM (
+    SELECT doc_id, unnest(CASE WHEN len(w) < {NGRAM} THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - {NGRAM - 2}), lambda k: array_to_string(w[k:k + {NGRAM - 1}], ' ')) END) AS g
+    FROM worded WHERE len(w) > 0)),
+sizes AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id),
+met AS (SELECT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b, count(*) AS both_ FROM grams a JOIN grams b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL)
+SELECT doc_id_a, doc_id_b, both_::DOUBLE / (x.n + y.n - both_) AS jaccard
+FROM met JOIN sizes x ON x.doc_id = doc_id_a JOIN sizes y ON y.doc_id = doc_id_b WHERE both_::DOUBLE / (x.n + y.n - both_) >= {THRESHOLD}
+"""

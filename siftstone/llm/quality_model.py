@@ -85,8 +85,9 @@ class QualityModel:
         z = np.clip((x - self.centre) / self.scale, -6, 6)
         return np.hstack([z, z * z, np.ones((len(z), 1))])
 
-    def probability(self, texts: pa.Array) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.design(statistics(texts)) @ self.weights, -30, 30)))
+    def of(self, x: np.ndarray) -> np.ndarray:
+        """Probabilities of rows of statistics."""
+        return 1 / (1 + np.exp(-np.clip(self.design(x) @ self.weights, -30, 30)))
 
 
 def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 30) -> QualityModel:
@@ -105,13 +106,15 @@ def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 30) -> Q
 
 
 def train(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE, seed: int = SEED) -> QualityModel | None:
-    """A model of at most ``sample`` labelled documents, those of the least seeded hashes.
+    """A model of at most ``sample`` labelled documents of ``docs``, those of the least seeded hashes; one text of each id.
 
     Only their statistics come to the driver. None if no document is labelled.
     """
+    there = docs.select(F.col("doc_id").cast("bigint").alias("id")).where("id is not null")
     said = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("bigint").alias("id")).agg(F.min("quality").alias("quality"))
+    said = said.join(there, "id", "left_semi")
     ids = {r.id: r.quality for r in said.orderBy(F.xxhash64(F.lit(seed), "id"), "id").limit(sample).collect()}
-    known = F.broadcast(docs.sparkSession.createDataFrame([(k, int(v)) for k, v in ids.items()], "id bigint, good int"))
+    known = F.broadcast(docs.sparkSession.createDataFrame([(k, int(v)) for k, v in ids.items()], "id bigint, good int"))  # ``sample`` rows at most
     picked = docs.select(F.col("doc_id").cast("bigint").alias("id"), F.col("text").cast("string").alias("text")).join(known, "id")
 
     def measure(texts: pa.Array) -> pa.Array:
@@ -119,7 +122,7 @@ def train(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE, seed: int
         return pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), len(STATISTICS)).cast(pa.list_(pa.float64()))
 
     measure.__annotations__ = {"texts": pa.Array, "return": pa.Array}
-    rows = picked.select("id", "good", F.arrow_udf(measure, "array<double>")("text").alias("x")).collect()
+    rows = picked.select("id", "good", F.arrow_udf(measure, "array<double>")("text").alias("x")).groupBy("id", "good").agg(F.min("x").alias("x")).collect()
     if not rows:
         return None
     rows = sorted(rows, key=lambda r: (r.id, r.x))
@@ -127,37 +130,56 @@ def train(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE, seed: int
 
 
 def evidence(model: QualityModel, text: Column) -> Column:
-    """The text's own probability of being good; an empty text's is 0."""
+    """The text's own probability of being good; that of a text without a word is the least."""
 
     def judge(texts: pa.Array) -> pa.Array:
         texts = plain(texts)
-        p = np.clip(model.probability(texts), SURE, 1 - SURE)
-        empty = np.diff(buffers(texts)[1]) == 0
-        return pa.array(np.where(empty, SURE, p))
+        x = statistics(texts)
+        p = np.clip(model.of(x), SURE, 1 - SURE)
+        return pa.array(np.where(x[:, 0] == 0, SURE, p))
 
     judge.__annotations__ = {"texts": pa.Array, "return": pa.Array}
     return F.arrow_udf(judge, "double").asNondeterministic()(text.cast("string"))
 
 
-def _strength(spread: Column, count: Column, groups: Column, squares: Column, mean: Column) -> Column:
-    """Prior strength by moments: m (1 - m) over the variance between groups, less 1."""
-    within = mean * (1 - mean)
-    between = (spread - (groups - 1) * within) / F.greatest(count - squares / count, F.lit(1e-9))
-    return F.when((between <= 0) | (groups < 2), F.lit(MOST_STRENGTH)).otherwise(F.least(F.greatest(within / F.greatest(between, F.lit(1e-12)) - 1, F.lit(LEAST_STRENGTH)), F.lit(MOST_STRENGTH)))
+def _strength(within: Column, spread: Column, groups: Column, size: Column) -> Column:
+    """Prior strength in documents by moments: the variance within groups over that between them.
+
+    ``spread`` is the sum of squares of group means about what is above them,
+    ``groups`` its degrees of freedom, ``size`` the documents it is worth.
+    """
+    between = F.try_divide(spread - groups * within, size)
+    k = F.least(F.greatest(F.try_divide(within, F.greatest(between, F.lit(1e-12))), F.lit(LEAST_STRENGTH)), F.lit(MOST_STRENGTH))
+    return F.when(between.isNull() | (between <= 0) | (groups < 1), F.lit(MOST_STRENGTH)).otherwise(k)
 
 
 def posteriors(scored: DataFrame) -> DataFrame:
-    """``(host, path, host_share, path_share)`` of ``scored(host, path, p)``: two small aggregations, hosts and paths null-safe."""
-    paths = scored.groupBy("host", "path").agg(F.count("*").cast("double").alias("n"), F.sum("p").alias("s"))
+    """``(host, path, n, s, hn, hs, m, kh, kp)`` of ``scored(host, path, p)``, hosts and paths null-safe: what a document's shares are made of.
+
+    Counts and sums by path and host, the global mean, and the two prior
+    strengths, from sums and sums of squares: a probability varies less within
+    a group than a yes or no would, so the variance is that of the figures.
+    """
+    paths = scored.groupBy("host", "path").agg(F.count("*").cast("double").alias("n"), F.sum("p").alias("s"), F.sum(F.col("p") * F.col("p")).alias("q"))
     paths = written(paths, "paths")
-    hosts = paths.groupBy("host").agg(F.sum("n").alias("hn"), F.sum("s").alias("hs"))
-    mean = hosts.agg((F.sum("hs") / F.sum("hn")).alias("m"))
-    hosts = hosts.crossJoin(F.broadcast(mean))
-    kappa = hosts.agg(_strength(F.sum(F.col("hn") * (F.col("hs") / F.col("hn") - F.col("m")) ** 2), F.sum("hn"), F.count("*"), F.sum(F.col("hn") ** 2), F.max("m")).alias("k"))
-    hosts = hosts.crossJoin(F.broadcast(kappa)).select("host", "hn", "m", ((F.col("hs") + F.col("k") * F.col("m")) / (F.col("hn") + F.col("k"))).alias("host_share"))
-    both = paths.alias("p").join(hosts.alias("h"), F.col("p.host").eqNullSafe(F.col("h.host"))).select("p.host", "p.path", "n", "s", "m", "hn", "host_share")
-    kappa = both.agg(_strength(F.sum(F.col("n") * (F.col("s") / F.col("n") - F.col("host_share")) ** 2), F.sum("n"), F.count("*"), F.sum(F.col("n") ** 2), F.max("m")).alias("k"))
-    return both.crossJoin(F.broadcast(kappa)).select("host", "path", "host_share", ((F.col("s") + F.col("k") * F.col("host_share")) / (F.col("n") + F.col("k"))).alias("path_share"))
+    hosts = paths.groupBy("host").agg(F.sum("n").alias("hn"), F.sum("s").alias("hs"), F.sum("q").alias("hq"), F.sum(F.col("n") * F.col("n")).alias("squares"))
+    all_ = hosts.agg(F.sum("hn").alias("an"), F.try_divide(F.sum("hs"), F.sum("hn")).alias("m"))
+    over = hosts.crossJoin(F.broadcast(all_))  # one row
+    mean, n, h = F.col("hs") / F.col("hn"), F.col("n"), F.col("hn")
+    host_within = F.coalesce(F.try_divide(F.sum(F.col("hq") - F.col("hs") * mean), F.sum(h) - F.count("*")), F.lit(0.0))
+    kh = over.agg(_strength(F.greatest(host_within, F.lit(0.0)), F.sum(h * (mean - F.col("m")) ** 2), F.count("*") - 1, F.sum(h) - F.try_divide(F.sum(h * h), F.sum(h))).alias("kh"))
+    both = paths.alias("p").join(over.alias("h"), F.col("p.host").eqNullSafe(F.col("h.host"))).select("p.host", "p.path", "n", "s", "q", "hn", "hs", "m", F.col("n").alias("_n"))
+    own = F.col("s") / n
+    path_within = F.coalesce(F.try_divide(F.sum(F.col("q") - F.col("s") * own), F.sum(n) - F.count("*")), F.lit(0.0))
+    degrees = F.count("*") - F.sum(n / h)  # paths less hosts
+    kp = both.agg(_strength(F.greatest(path_within, F.lit(0.0)), F.sum(n * (own - mean) ** 2), F.round(degrees, 6), F.sum(n) - F.sum(n * n / h)).alias("kp"))
+    return both.crossJoin(F.broadcast(kh)).crossJoin(F.broadcast(kp)).select("host", "path", "n", "s", "hn", "hs", "m", "kh", "kp")
+
+
+def _shares() -> tuple[Column, Column]:
+    """The host's and the path's shrunk share for a document of evidence ``p``, which is left out of both."""
+    host = (F.col("hs") - F.col("p") + F.col("kh") * F.col("m")) / (F.col("hn") - 1 + F.col("kh"))
+    return host, (F.col("s") - F.col("p") + F.col("kp") * host) / (F.col("n") - 1 + F.col("kp"))
 
 
 def _logit(p: Column) -> Column:
@@ -169,13 +191,28 @@ def _posterior(p: Column, share: Column, base: float) -> Column:
     return 1 / (1 + F.exp(-(_logit(p) - _logit(F.lit(base)) + _logit(share))))
 
 
-def scores(docs: DataFrame, labels: DataFrame, *, host: str = "source", path: str = "lang", keep: float = KEEP, **parameters: int) -> DataFrame:
+def _site(host: str, path: str, url: str | None) -> tuple[Column, Column]:
+    """Columns of host and path; of a ``url`` its host and its path's first step."""
+    if url is None:
+        return F.col(host).cast("string"), F.col(path).cast("string")
+    u = F.col(url).cast("string")
+    return F.lower(F.regexp_extract(u, r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1)), F.regexp_extract(u, r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*/([^/?#]*)", 1)
+
+
+def _met(scored: DataFrame, sites: DataFrame) -> DataFrame:
+    return scored.alias("d").join(sites.alias("s"), F.col("d.host").eqNullSafe(F.col("s.host")) & F.col("d.path").eqNullSafe(F.col("s.path")))
+
+
+def scores(docs: DataFrame, labels: DataFrame, *, host: str = "source", path: str = "lang", url: str | None = None, keep: float = KEEP, **parameters: int) -> DataFrame:
     """``(doc_id, evidence, host_share, path_share, posterior, kept)``, a row for every row of ``docs``.
 
     ``host`` and ``path`` name the site columns (for documents: the source, and
-    the language section within it); a null is a site of its own. A null or empty
-    text has the least evidence. Statistics are of whole texts; repeated rows
-    count as often as they occur and give equal rows. With no labels every
+    the language section within it), or ``url`` the column that both are in; a
+    null is a site of its own. Shares are of the site's other documents: a
+    document's own evidence counts once. A null or empty text, or one without a
+    word, has the least evidence. Statistics are of whole texts; repeated rows
+    count as often as they occur and give equal rows; a posterior that ties with
+    ``keep`` is kept. Other columns may have any name. With no labels every
     document is kept with null figures; no documents, no rows.
     """
     model = train(docs, labels, **parameters)
@@ -183,14 +220,14 @@ def scores(docs: DataFrame, labels: DataFrame, *, host: str = "source", path: st
     if model is None:
         none = F.lit(None).cast("double")
         return docs.select(ids, none.alias("evidence"), none.alias("host_share"), none.alias("path_share"), none.alias("posterior"), F.lit(True).alias("kept"))
-    scored = written(docs.select(ids, F.col(host).cast("string").alias("host"), F.col(path).cast("string").alias("path"), evidence(model, F.col("text")).alias("p")), "scored")
-    sites = posteriors(scored)
-    out = scored.alias("d").join(sites.alias("s"), F.col("d.host").eqNullSafe(F.col("s.host")) & F.col("d.path").eqNullSafe(F.col("s.path")))
-    out = out.select("doc_id", F.col("p").alias("evidence"), "host_share", "path_share", _posterior(F.col("p"), F.col("path_share"), model.base).alias("posterior"))
-    return out.withColumn("kept", F.col("posterior") >= keep)
+    h, p = _site(host, path, url)
+    scored = written(docs.select(ids, h.alias("host"), p.alias("path"), evidence(model, F.col("text")).alias("p")), "scored")
+    host_share, path_share = _shares()
+    out = _met(scored, posteriors(scored)).select("doc_id", F.col("p").alias("evidence"), host_share.alias("host_share"), path_share.alias("path_share"))
+    return out.withColumn("posterior", _posterior(F.col("evidence"), F.col("path_share"), model.base)).withColumn("kept", F.col("posterior") >= keep)
 
 
-def kept(docs: DataFrame, labels: DataFrame, *, host: str = "source", path: str = "lang", keep: float = KEEP, **parameters: int) -> DataFrame:
+def kept(docs: DataFrame, labels: DataFrame, *, host: str = "source", path: str = "lang", url: str | None = None, keep: float = KEEP, **parameters: int) -> DataFrame:
     """The rows of ``docs`` that :func:`scores` keeps, columns unchanged.
 
     Evidence is computed once for the sites' shares and once more to filter, as
@@ -201,7 +238,7 @@ def kept(docs: DataFrame, labels: DataFrame, *, host: str = "source", path: str
     if model is None:
         return docs
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-    site = docs.select(row, F.col(host).cast("string").alias("host"), F.col(path).cast("string").alias("path"), evidence(model, F.col("text")).alias("p"))
+    h, p = _site(host, path, url)
+    site = docs.select(row, h.alias("host"), p.alias("path"), evidence(model, F.col("text")).alias("p"))
     sites = written(posteriors(site.select("host", "path", "p")), "sites")
-    joined = site.alias("d").join(sites.alias("s"), F.col("d.host").eqNullSafe(F.col("s.host")) & F.col("d.path").eqNullSafe(F.col("s.path")))
-    return joined.where(_posterior(F.col("p"), F.col("path_share"), model.base) >= keep).select("row.*")
+    return _met(site, sites).where(_posterior(F.col("p"), _shares()[1], model.base) >= keep).select("row.*")

@@ -66,4 +66,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f fo
     op6_orc_token_table, op7_hierarchical_bayes_quality, op8_best_fit_packing, op9_telephony_audio, op10_minimax_shards,
 )}
 
-ORACLE_SQL: dict[str, str] = {"op4_line_first_cleaning": line_rules.SQL, "op10_minimax_shards": sharding.SQL}
+ORACLE_SQL: dict[str, str] = {"op1_ngram_jaccard_join": ngram_join.SQL, "op4_line_first_cleaning": line_rules.SQL, "op10_minimax_shards": sharding.SQL}
