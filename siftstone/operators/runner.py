@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftstone.functions.dictionaries import severity_rank
-from siftstone.functions.text import line_text
 from siftstone.operators import patterns as P
 from siftstone.operators import scan
 
@@ -77,12 +76,18 @@ def without_skipped(files: DataFrame) -> DataFrame:
     return files.where(~F.col("path").rlike(P.SKIPPED_PATHS))
 
 
+def suppressed_lines(files: DataFrame) -> DataFrame:
+    """``(file_path, line)`` that comments suppress: few rows, whatever the files' size."""
+    marked = files.where(F.lower("content").contains(P.IGNORE) | F.lower("content").contains(P.DISABLE))
+    lines = marked.select(F.col("path").alias("file_path"), F.posexplode(F.split(F.lower("content"), "\n", -1)).alias("k", "text"))
+    k = F.col("k")
+    hit = lines.where(F.col("text").contains(P.IGNORE) | F.col("text").contains(P.DISABLE))
+    return hit.select("file_path", F.explode(F.when(F.col("text").contains(P.NEXT), F.array(k + 1, k + 2)).otherwise(F.array(k + 1))).alias("line")).distinct()
+
+
 def inline_filtered(findings: DataFrame, files: DataFrame) -> DataFrame:
-    """Findings but those whose line, or the one before, suppresses them."""
-    text = files.select(F.col("path").alias("file_path"), "content")
-    line = line_text(F.col("content"), F.col("line"))
-    before = F.when(F.col("line") > 1, line_text(F.col("content"), F.col("line") - 1)).otherwise("")
-    return findings.join(text, "file_path", "left").where(F.col("content").isNull() | ~scan.suppressed(line, before)).drop("content").select(*findings.columns)
+    """Findings but those whose line, or the one before, suppresses them; contents aren't moved."""
+    return findings.join(suppressed_lines(files), ["file_path", "line"], "left_anti").select(*findings.columns)
 
 
 def overridden(findings: DataFrame, overrides: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftstone.functions import dictionaries, scalars
-from siftstone.functions.text import column_of, dialect, line_of, line_text, masked, matches, trimmed
+from siftstone.functions.text import column_of, dialect, line_of, masked, matches, trimmed
 from siftstone.operators import patterns as P
 
 PREFIX = "sift"
@@ -24,17 +24,21 @@ def _tagged(name: str, regex: str, order: int) -> Column:
     return F.transform(matches(F.col("_text"), regex), lambda m: F.struct(F.lit(name).alias("id"), F.lit(order).alias("ord"), m["begin"].alias("begin"), m["text"].alias("text")))
 
 
-def located(files: DataFrame, found: Sequence[tuple[str, str, int]], text: Column | None = None, keep: Sequence[str] = ()) -> DataFrame:
-    """A row ``(path, id, ord, begin, text, line, column, line_text, previous)`` for every match of the ``(id, Java pattern, ord)`` in each file.
+def located(files: DataFrame, found: Sequence[tuple[str, str, int]], text: Column | None = None) -> DataFrame:
+    """A row ``(path, id, ord, begin, text, line, column, line_text, previous, before)`` for every match of the ``(id, Java pattern, ord)`` in each file.
 
     All patterns are looked for in one pass over the content, without a shuffle
-    or a copy of the content for each pattern.
+    or a copy of the content for each pattern. Lines and places are part of the
+    generated rows, so that filters on them don't compute them again; ``before``
+    is what precedes a match, 200 characters at most.
     """
-    text = F.col("content") if text is None else text
-    each = [_tagged(i, regex, o) for i, regex, o in found]
-    rows = files.select("path", *keep, "content", text.alias("_text")).select("path", *keep, "content", F.explode(F.concat(*each)).alias("m"))
-    placed = rows.select("path", *keep, "content", "m.*", line_of(F.col("content"), F.col("m.begin")).alias("line"), column_of(F.col("content"), F.col("m.begin")).alias("column"))
-    return placed.withColumn("line_text", line_text(F.col("content"), F.col("line"))).withColumn("previous", F.when(F.col("line") > 1, line_text(F.col("content"), F.col("line") - 1)).otherwise("")).drop("content")
+    rows = files.select("path", "content", (F.col("content") if text is None else text).alias("_text"), F.split("content", "\n", -1).alias("_lines"))
+    every = F.concat(*[_tagged(*x) for x in found])
+    fields = ("id", "ord", "begin", "text")
+    content = F.col("content")
+    placed = F.transform(every, lambda m: F.struct(*[m[f].alias(f) for f in fields], line_of(content, m["begin"]).alias("line"), column_of(content, m["begin"]).alias("column"), F.substring("_text", F.greatest(F.lit(1), m["begin"] - 199), F.least(F.lit(200), m["begin"])).alias("before")))
+    told = F.transform(placed, lambda m: F.struct(*[m[f].alias(f) for f in (*fields, "line", "column", "before")], F.get("_lines", m["line"] - 1).alias("line_text"), F.coalesce(F.get("_lines", m["line"] - 2), F.lit("")).alias("previous")))
+    return rows.select("path", F.explode(told).alias("m")).select("path", "m.*")
 
 
 def _any(line: Column, regexes: Sequence[str]) -> Column:
@@ -212,12 +216,7 @@ def imports(files: DataFrame, *, strategy: str = "masked", types: bool = True, d
     ``strategy`` masked leaves comments, templates and strings out; regex takes
     whatever looks like an import. ``types`` and ``dynamic`` keep these kinds.
     """
-    # what is before a match is needed for require(); it is cut while the text is at hand
-    text = masked(F.col("content")) if strategy == "masked" else F.col("content")
-    each = [_tagged(i, regex, o) for o, (i, regex) in enumerate(IMPORTS)]
-    rows = files.select("path", "content", text.alias("_text")).select("path", "content", "_text", F.explode(F.concat(*each)).alias("m"))
-    rows = rows.select("path", "m.*", line_of(F.col("content"), F.col("m.begin")).alias("line"), column_of(F.col("content"), F.col("m.begin")).alias("column"), line_text(F.col("content"), line_of(F.col("content"), F.col("m.begin"))).alias("line_text"),
-        F.substring("_text", F.greatest(F.lit(1), F.col("m.begin") - 199), F.least(F.lit(200), F.col("m.begin"))).alias("before"))
+    rows = located(files, [(i, regex, o) for o, (i, regex) in enumerate(IMPORTS)], masked(F.col("content")) if strategy == "masked" else None)
     source = F.lit(None).cast("string")
     for name, regex in IMPORTS:
         source = F.when(F.col("id") == name, F.regexp_extract("text", regex, 2)).otherwise(source)
