@@ -15,8 +15,8 @@ from pyspark.sql import SparkSession  # noqa: E402
 
 from siftstone.plans.catalogue import QUERIES  # noqa: E402
 
-NAMES = ("unsafe_scan", "imports_regex", "import_merge", "nearest_package", "phantom_members", "phantom_globals", "findings_union", "summary")
-RUNS = int(os.environ.get("BENCH_RUNS", "2"))
+NAMES = ("unsafe_scan", "imports_regex", "nearest_package", "findings_union")
+RUNS = int(os.environ.get("BENCH_RUNS", "1"))
 
 
 def main() -> None:

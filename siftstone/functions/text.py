@@ -16,7 +16,7 @@ def dialect(pattern: str) -> str:
     while k < len(pattern):
         c = pattern[k : k + 2]
         if c == r"\b" and not inside:
-            out.append("(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))")
+            out.append("(?<![A-Za-z0-9_])" if pattern[k + 2 : k + 3].isalnum() else "(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))")
             k += 2
         elif c == r"\s":
             out.append(SPACES if inside else WHITE)
@@ -37,17 +37,15 @@ def matches(text: Column, pattern: str) -> Column:
     Pieces between matches and matches in turn give the begins: one pass of the
     engine's own functions, no rows between.
     """
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<begin:int,text:string>>").alias("rows"))
 
     def add(state: Column, pair: Column) -> Column:
         begin = state["at"] + F.length(pair["gap"])
-        return F.struct((begin + F.length(pair["text"])).alias("at"), F.concat(state["rows"], F.array(F.struct(begin.alias("begin"), pair["text"].alias("text")))).alias("rows"))
+        more = F.struct((begin + F.length(pair["text"])).alias("at"), F.concat(state["rows"], F.array(F.struct(begin.alias("begin"), pair["text"].alias("text")))).alias("rows"))
+        return F.when(pair["text"].isNull(), state).otherwise(more)  # after the last match
 
-    pairs = F.zip_with(F.slice(gaps, 1, F.size(found)), found, lambda gap, m: F.struct(gap.alias("gap"), m.alias("text")))
-    none = F.array().cast("array<struct<begin:int,text:string>>")
-    return F.when(F.size(found) > 0, F.aggregate(pairs, start, add, lambda s: s["rows"])).otherwise(none)
+    pairs = F.zip_with(F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda gap, m: F.struct(gap.alias("gap"), m.alias("text")))
+    return F.aggregate(pairs, start, add, lambda s: s["rows"])
 
 
 def line_of(text: Column, begin: Column) -> Column:

@@ -36,7 +36,10 @@ def src_files_sql() -> str:
 def src_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(path, content, size, language)``."""
     lines = f"array_join(transform(sequence(0, 9), k -> element_at(array({_texts(chr(92) + chr(39))}), {_AT})), chr(10))"
-    return with_language(spark.read.parquet(f"{sf_dir}/events.parquet").selectExpr(_PATH, f"concat('/* file */', chr(10), replace({lines}, '%', CAST(event_id % 97 AS STRING)), chr(10), '// ', event_type) AS content"))
+    content = f"concat('/* file */', chr(10), replace({lines}, '%', CAST(event_id % 97 AS STRING)), chr(10), '// ', event_type) AS content"
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "user_id", "event_type").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "event_id")  # slim rows; contents are made behind it
+    # a generated row is made once, however many patterns look at its content
+    return with_language(events.selectExpr(f"inline(array(struct({_PATH}, {content})))"))
 
 
 def with_language(files: DataFrame) -> DataFrame:
