@@ -11,6 +11,8 @@
    connects are not compared again.
 3. What is left connects classes to candidate blocks. All pairs of a block are
    verified by exact set intersection, counted by matrix products.
+4. The pairs are counted, not listed: each document has the number of its
+   partners and the least id of those that pairs connect it to.
 
 No bucket, block or partner list is capped: a block of many classes is cut into
 tiles, a tile a task, which together hold every pair.
@@ -34,6 +36,8 @@ THRESHOLD, NGRAM, BANDS, ROWS, TOLERANCE = 0.5, 3, 40, 4, 0.005
 STEP = 16
 #: Classes of a block that one task verifies against as many others.
 TILE = 2048
+#: Rows of a tile's matrices that are worked on at once.
+SLAB = 256
 #: Pairs that a bucket compares at a time.
 PAIRS = 1 << 18
 
@@ -214,35 +218,13 @@ def candidate_blocks(docs: DataFrame, *, n: int, threshold: float, bands: int, r
     return members, named, components(placed.mapInArrow(edges, "a bigint, b bigint"))
 
 
-def verified_pairs(docs: DataFrame, classes: DataFrame, blocks: DataFrame, *, n: int, threshold: float, connect_only: bool = False) -> DataFrame:
-    """``(a, b, jaccard)``, a < b: the pairs of classes of each block whose shingle sets reach the threshold.
-
-    ``connect_only`` leaves out pairs that others of the same tile connect
-    already, so that a block of thousands of copies gives a tree, not a square.
-    """
-
-    def tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t, starts in _groups(batches, ["component", "left", "right"]):
-            ends = np.append(starts[1:], t.num_rows)
-            ids, tile = t.column("id").to_numpy(), t.column("tile").to_numpy()
-            left, right = t.column("left").to_numpy(), t.column("right").to_numpy()
-            texts = plain(t.column("text"))
-            found: list[np.ndarray] = []
-            for s, e in zip(starts, ends):
-                sets = [np.unique(h[at[k] : at[k + 1]]) for _, part in chunks(texts.slice(s, e - s)) for h, at in [shingles(part, n)] for k in range(len(part))]
-                i, j, jac = _tile_pairs(sets, tile[s:e] == left[s], tile[s:e] == right[s], threshold, connect_only)
-                x, y = ids[s:e][i], ids[s:e][j]
-                found.append(np.rec.fromarrays([np.minimum(x, y), np.maximum(x, y), jac]))
-            if found:
-                all_ = np.concatenate(found)
-                for begin in range(0, len(all_), 1 << 20):
-                    p = all_[begin : begin + (1 << 20)]
-                    yield pa.record_batch([pa.array(p["f0"]), pa.array(p["f1"]), pa.array(p["f2"])], ["a", "b", "jaccard"])
-
+def _tiled(docs: DataFrame, classes: DataFrame, blocks: DataFrame) -> DataFrame:
+    """The classes of each tile with a text and the other columns of ``blocks``, in the order that :func:`_sets` reads."""
+    other = [c for c in blocks.columns if c not in ("id", "component")]
     sized = blocks.withColumn("tiles", F.ceil(F.count("*").over(Window.partitionBy("component")) / TILE).cast("int"))
     sized = sized.withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int"))
     every = F.sequence(F.lit(0), F.col("tiles") - 1)
-    spread = sized.withColumn("other", F.explode(every)).select("id", "component", "tile", F.least("tile", "other").alias("left"), F.greatest("tile", "other").alias("right"))
+    spread = sized.withColumn("other", F.explode(every)).select("id", "component", *other, "tile", F.least("tile", "other").alias("left"), F.greatest("tile", "other").alias("right"))
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -254,18 +236,104 @@ def verified_pairs(docs: DataFrame, classes: DataFrame, blocks: DataFrame, *, n:
     texts = docs.select(F.col("doc_id").cast("bigint").alias("id"), F.col("text").cast("string").alias("text")).where("id is not null")
     texts = texts.mapInArrow(digest, "leader bigint, d1 bigint, d2 bigint, text string")
     texts = texts.join(classes.join(blocks.select(F.col("id").alias("rep")), "rep", "left_semi"), key, "left_semi").dropDuplicates(key)
-    held = spread.join(classes.withColumnRenamed("rep", "id"), "id").join(texts, key).select("id", "component", "tile", "left", "right", "text")
-    held = held.repartition("component", "left", "right").sortWithinPartitions("component", "left", "right", "id")
-    return held.mapInArrow(tiles, "a bigint, b bigint, jaccard double")
+    held = spread.join(classes.withColumnRenamed("rep", "id"), "id").join(texts, key).select("id", "component", "tile", "left", "right", "text", *other)
+    return held.repartition("component", "left", "right").sortWithinPartitions("component", "left", "right", "id")
+
 
+def _sets(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple[pa.Table, list[np.ndarray], np.ndarray, np.ndarray]]:
+    """Each tile: its rows, their shingle sets, and which of them are on its left and on its right."""
+    for t, starts in _groups(batches, ["component", "left", "right"]):
+        ends = np.append(starts[1:], t.num_rows)
+        tile, left, right = (t.column(c).to_numpy() for c in ("tile", "left", "right"))
+        texts = plain(t.column("text"))
+        for s, e in zip(starts, ends):
+            sets = [np.unique(h[at[k] : at[k + 1]]) for _, part in chunks(texts.slice(s, e - s)) for h, at in [shingles(part, n)] for k in range(len(part))]
+            yield t.slice(s, e - s), sets, tile[s:e] == left[s], tile[s:e] == right[s]
 
-def _tile_pairs(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, threshold: float, connect_only: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+
+def _batches(columns: list[list[np.ndarray]], names: list[str], least: int = 0) -> Iterator[pa.RecordBatch]:
+    """What has been gathered, as batches, and forgets it; nothing before there are ``least`` rows."""
+    if not columns[0] or sum(map(len, columns[0])) < least:
+        return
+    whole = [np.concatenate(c) for c in columns]
+    for c in columns:
+        c.clear()
+    for begin in range(0, len(whole[0]), 1 << 20):
+        yield pa.record_batch([pa.array(c[begin : begin + (1 << 20)]) for c in whole], names)
+
+
+def verified_pairs(docs: DataFrame, classes: DataFrame, blocks: DataFrame, *, n: int, threshold: float, connect_only: bool = False) -> DataFrame:
+    """``(a, b, jaccard)``, a < b: the pairs of classes of each block whose shingle sets reach the threshold.
+
+    ``connect_only`` leaves out pairs that others of the same tile connect
+    already, so that a block of thousands of copies gives a tree, not a square.
+    """
+
+    def tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["a", "b", "jaccard"]
+        out: list[list[np.ndarray]] = [[], [], []]
+        for t, sets, left, right in _sets(batches, n):
+            ids, size = t.column("id").to_numpy(), np.array([len(s) for s in sets])
+            rows, cols, both, hit = _tile_hits(sets, left, right, threshold)
+            i, j = _tree(hit, rows, cols) if connect_only else np.nonzero(hit)
+            x, y = ids[rows[i]], ids[cols[j]]
+            shared = both[i, j].astype(np.float64)
+            for c, v in zip(out, (np.minimum(x, y), np.maximum(x, y), shared / (size[rows[i]] + size[cols[j]] - shared))):
+                c.append(v)
+            yield from _batches(out, names, 1 << 16)
+        yield from _batches(out, names)
+
+    return _tiled(docs, classes, blocks).mapInArrow(tiles, "a bigint, b bigint, jaccard double")
+
+
+#: What a row of :func:`counted_links` says.
+EDGE, SUM, PAIR = 0, 1, 2
+
+
+def counted_links(docs: DataFrame, classes: DataFrame, blocks: DataFrame, *, n: int, threshold: float) -> DataFrame:
+    """``(kind, a, b, links)`` of ``blocks(id, component, copies, mixed)``; pairs are counted where they are found and not listed.
+
+    ``EDGE``: classes a and b are similar; these edges connect what all similar
+    pairs connect. ``SUM``: of the ``copies`` of the classes that are similar to
+    a, those that one tile has. ``PAIR``: a and b are similar and one of them is ``mixed``.
+    """
+
+    def tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["kind", "a", "b", "links"]
+        out: list[list[np.ndarray]] = [[], [], [], []]
+
+        def give(kind: int, a: np.ndarray, b: np.ndarray, links: np.ndarray) -> None:
+            for c, v in zip(out, (np.full(len(a), kind, np.int8), a, b, links)):
+                c.append(v)
+
+        for t, sets, left, right in _sets(batches, n):
+            ids, copies, mixed = t.column("id").to_numpy(), t.column("copies").to_numpy(), t.column("mixed").to_numpy()
+            rows, cols, _, hit = _tile_hits(sets, left, right, threshold)
+            i, j = _tree(hit, rows, cols)
+            give(EDGE, ids[rows[i]], ids[cols[j]], np.zeros(len(i), np.int64))
+            links = np.zeros(len(ids))  # whole numbers, exact below 2 ** 53
+            for begin in range(0, len(rows), SLAB):
+                some, part = rows[begin : begin + SLAB], hit[begin : begin + SLAB].astype(np.float64)
+                links[some] += part @ copies[cols]
+                links[cols] += copies[some] @ part
+            own = np.flatnonzero(links)
+            give(SUM, ids[own], ids[own], links[own].astype(np.int64))
+            if mixed.any():
+                i, j = np.nonzero(hit & (mixed[rows][:, None] | mixed[cols][None, :]))
+                give(PAIR, ids[rows[i]], ids[cols[j]], np.zeros(len(i), np.int64))
+            yield from _batches(out, names, 1 << 16)
+        yield from _batches(out, names)
+
+    return _tiled(docs, classes, blocks).mapInArrow(tiles, "kind tinyint, a bigint, b bigint, links bigint")
+
+
+def _tile_hits(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The sets on the left, those on the right, how many members each two share, and which reach the threshold; no two are hit twice."""
     size = np.array([len(s) for s in sets])
     if len(sets) == 2:
         both = len(np.intersect1d(sets[0], sets[1], assume_unique=True))
-        jac = both / (size.sum() - both)
-        hit = int(jac >= threshold and ((left[0] and right[1]) or (left[1] and right[0])))
-        return np.array([0] * hit, int), np.array([1] * hit, int), np.array([jac] * hit, float)
+        hit = both / (size.sum() - both) >= threshold and ((left[0] and right[1]) or (left[1] and right[0]))
+        return np.array([0]), np.array([1]), np.array([[both]], np.float32), np.array([[bool(hit)]])
     rows, cols = np.flatnonzero(left), np.flatnonzero(right)
     owner = np.repeat(np.arange(len(sets)), size)
     flat = np.concatenate(sets)
@@ -283,14 +351,14 @@ def _tile_pairs(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, thr
         m = np.zeros((len(sets), min(per, width - begin)), np.float32)
         m[owner[span], name[span] - begin] = 1
         both += m[rows] @ m[cols].T
-    jac = both.astype(np.float64) / (size[rows][:, None] + size[cols][None, :] - both)
-    hit = (jac >= threshold) & (rows[:, None] != cols[None, :])
-    hit &= (rows[:, None] < cols[None, :]) | ~(right[rows][:, None] & left[cols][None, :])
-    if connect_only:
-        i, j = _tree(hit, rows, cols)
-    else:
-        i, j = np.nonzero(hit)
-    return rows[i], cols[j], jac[i, j]
+    hit = np.empty(both.shape, bool)
+    for begin in range(0, len(rows), SLAB):
+        some, shared = rows[begin : begin + SLAB], both[begin : begin + SLAB].astype(np.float64)
+        part = shared / (size[some][:, None] + size[cols][None, :] - shared) >= threshold
+        part &= some[:, None] != cols[None, :]
+        part &= (some[:, None] < cols[None, :]) | ~(right[some][:, None] & left[cols][None, :])
+        hit[begin : begin + SLAB] = part
+    return rows, cols, both, hit
 
 
 def _tree(hit: np.ndarray, rows: np.ndarray, cols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -356,29 +424,80 @@ def duplicate_groups(docs: DataFrame, *, n: int = NGRAM, threshold: float = THRE
     """
     members, named, blocks = candidate_blocks(docs, n=n, threshold=threshold, bands=bands, rows=rows, tolerance=tolerance)
     blocks = written(blocks, "blocks")
-    near = verified_pairs(docs, named, blocks, n=n, threshold=threshold, connect_only=True).select("a", "b")
+    return _grouped(verified_pairs(docs, named, blocks, n=n, threshold=threshold, connect_only=True).select("a", "b"), members, named)
+
+
+def _grouped(near: DataFrame, members: DataFrame, named: DataFrame) -> DataFrame:
+    """``(doc_id, group_id)`` of the documents of connected classes."""
     for side in ("a", "b"):
         near = near.join(named.select(F.col("rep").alias(side), F.col("leader").alias(f"{side}_")), side).drop(side).withColumnRenamed(f"{side}_", side)
     same = members.where("doc_id <> leader").select(F.col("leader").alias("a"), F.col("doc_id").alias("b"))
     return components(near.unionByName(same)).select(F.col("id").alias("doc_id"), F.col("component").alias("group_id"))
 
 
+def linked_documents(docs: DataFrame, *, n: int = NGRAM, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, tolerance: float = TOLERANCE) -> DataFrame:
+    """``(doc_id, class_id, links)``, a row for each id: how many other documents :func:`similar_pairs` pairs it with, and the least id of all that pairs connect it to.
+
+    The links are counted in the tiles that find them, copies by their number,
+    so that rows grow as the documents and not as the pairs. A document without
+    a partner, or without a word, is alone in its class and has no link; null
+    ids have no row. Texts of one id count as there: its partners are those of
+    any of its texts, each once. Only for ids of several texts are pairs of
+    classes listed.
+    """
+    members, named, blocks = candidate_blocks(docs, n=n, threshold=threshold, bands=bands, rows=rows, tolerance=tolerance)
+    members = written(members.withColumn("texts", F.count("*").over(Window.partitionBy("doc_id"))), "texts")
+    # copies: ids of this text alone; mixed: an id of this text has others, too
+    counts = members.groupBy("rep").agg(F.count(F.when(F.col("texts") == 1, 1)).alias("copies"), F.max(F.col("texts") > 1).alias("mixed"))
+    blocks = written(blocks.join(counts.withColumnRenamed("rep", "id"), "id"), "blocks")
+    found = written(counted_links(docs, named, blocks, n=n, threshold=threshold), "found")
+    across = found.where(F.col("kind") == SUM).groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("across"))
+    links = counts.join(across, "rep", "left").select("rep", (F.col("copies") - 1 + F.coalesce("across", F.lit(0))).alias("links"))
+    links = members.where("texts = 1").join(links, "rep").select("doc_id", "rep", "links")
+    several = members.where("texts > 1")
+    links = links.drop("rep") if several.isEmpty() else _with_several(links, several.select("doc_id", "rep"), counts, found.where(F.col("kind") == PAIR).select("a", "b"))
+    groups = _grouped(found.where(F.col("kind") == EDGE).select("a", "b"), members, named)
+    ids = docs.select(F.col("doc_id").cast("bigint").alias("doc_id")).where("doc_id is not null").distinct()
+    return ids.join(groups, "doc_id", "left").join(links, "doc_id", "left").select("doc_id", F.coalesce("group_id", "doc_id").alias("class_id"), F.coalesce("links", F.lit(0).cast("bigint")).alias("links"))
+
+
+def _with_several(links: DataFrame, several: DataFrame, counts: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``(doc_id, links)`` of all: ``links(doc_id, rep, links)`` of ids of one text to each other, and those from and to ``several(doc_id, rep)``."""
+    own = several.select(F.col("rep").alias("a"), F.col("rep").alias("b"))
+    around = written(pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).unionByName(own).distinct(), "around")
+    others = several.select(F.col("rep").alias("b"), F.col("doc_id").alias("other"))
+    seen = around.join(others, "b").select(F.col("a").alias("rep"), "other").distinct().groupBy("rep").agg(F.count("*").alias("seen"))
+    single = links.join(seen, "rep", "left").select("doc_id", (F.col("links") + F.coalesce("seen", F.lit(0))).alias("links"))
+    reached = several.withColumnRenamed("rep", "a").join(around, "a").select("doc_id", "b").distinct()
+    to_single = reached.join(counts.select(F.col("rep").alias("b"), F.col("copies").alias("k")), "b").select("doc_id", "k")
+    to_several = reached.join(others, "b").where("doc_id <> other").select("doc_id", "other").distinct().select("doc_id", F.lit(1).cast("bigint").alias("k"))
+    return single.unionByName(to_single.unionByName(to_several).groupBy("doc_id").agg(F.sum("k").alias("links")))
+
+
 def without_duplicates(docs: DataFrame, **parameters: float) -> DataFrame:
     """``docs`` with one document of each group: that of the least id. Rows that join nothing stay, null ids among them."""
     dropped = duplicate_groups(docs, **parameters).where("doc_id <> group_id").select("doc_id")
     return docs.join(dropped, docs["doc_id"].cast("bigint") == dropped["doc_id"], "left_anti")
 
 
-#: All pairs by their shared shingles, exact.
+#: All pairs by their shared shingles, exact; each text of an id is a query.
 SQL = f"""
-WITH worded AS MATERIALIZED (
-  SELECT doc_id, regexp_extract_all(lower(text), '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+') AS w FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+WITH RECURSIVE texts AS MATERIALIZED (
+  SELECT DISTINCT doc_id, regexp_extract_all(lower(text), '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+') AS w FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+worded AS MATERIALIZED (SELECT dense_rank() OVER (ORDER BY w) AS k, doc_id, w FROM texts WHERE len(w) > 0),
 grams AS MATERIALIZED (
-  SELECT DISTINCT doc_id, g FROM (
-    SELECT doc_id, unnest(CASE WHEN len(w) < {NGRAM} THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - {NGRAM - 2}), lambda k: array_to_string(w[k:k + {NGRAM - 1}], ' ')) END) AS g
-    FROM worded WHERE len(w) > 0)),
-sizes AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id),
-met AS (SELECT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b, count(*) AS both_ FROM grams a JOIN grams b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL)
-SELECT doc_id_a, doc_id_b, both_::DOUBLE / (x.n + y.n - both_) AS jaccard
-FROM met JOIN sizes x ON x.doc_id = doc_id_a JOIN sizes y ON y.doc_id = doc_id_b WHERE both_::DOUBLE / (x.n + y.n - both_) >= {THRESHOLD}
+  SELECT DISTINCT k, g FROM (
+    SELECT k, unnest(CASE WHEN len(w) < {NGRAM} THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - {NGRAM - 2}), lambda i: array_to_string(w[i:i + {NGRAM - 1}], ' ')) END) AS g
+    FROM (SELECT k, any_value(w) AS w FROM worded GROUP BY k))),
+sizes AS MATERIALIZED (SELECT k, count(*) AS n FROM grams GROUP BY k),
+met AS (SELECT a.k AS a, b.k AS b, count(*) AS both_ FROM grams a JOIN grams b ON a.g = b.g GROUP BY ALL),
+near AS MATERIALIZED (
+  SELECT a, b FROM met JOIN sizes x ON x.k = a JOIN sizes y ON y.k = b WHERE both_::DOUBLE / (x.n + y.n - both_) >= {THRESHOLD}),
+pairs AS MATERIALIZED (
+  SELECT DISTINCT x.doc_id AS a, y.doc_id AS b FROM near JOIN worded x ON x.k = near.a JOIN worded y ON y.k = near.b WHERE x.doc_id <> y.doc_id),
+ids AS MATERIALIZED (SELECT DISTINCT doc_id FROM documents WHERE doc_id IS NOT NULL),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM ids UNION SELECT r.a, p.b FROM reach r JOIN pairs p ON p.a = r.b),
+classes AS (SELECT a AS doc_id, min(b) AS class_id FROM reach GROUP BY a),
+links AS (SELECT a AS doc_id, count(*) AS links FROM pairs GROUP BY a)
+SELECT doc_id, class_id, coalesce(links, 0) AS links FROM classes LEFT JOIN links USING (doc_id)
 """

@@ -1,7 +1,8 @@
 import numpy as np
 import pytest
 
-from siftstone.llm.ngram_join import _tree, duplicate_groups, similar_pairs
+from siftstone.llm import ngram_join
+from siftstone.llm.ngram_join import _tree, duplicate_groups, linked_documents, similar_pairs
 
 
 def groups(n, pairs):
@@ -56,3 +57,69 @@ def test_each_text_of_an_id_is_a_query(spark):
     assert got[1, 2] == got[1, 3] == 1.0
     assert got[3, 4] == got[1, 4] < 1.0
     assert {(r.doc_id, r.group_id) for r in duplicate_groups(docs).collect()} == {(k, 1) for k in (1, 2, 3, 4)}
+
+
+def counted(pairs, ids):
+    """(doc_id, class_id, links) from a list of pairs."""
+    near = {k: set() for k in ids}
+    for a, b in pairs:
+        near[a].add(b)
+        near[b].add(a)
+    out = set()
+    for k in ids:
+        todo, seen = [k], {k}
+        while todo:
+            new = near[todo.pop()] - seen
+            seen |= new
+            todo += new
+        out.add((k, min(seen), len(near[k])))
+    return out
+
+
+def corpus(seed=3, bases=12, changes=9):
+    """Exact and near copies in groups of many sizes, some ids with two texts, a repeated row, rows without words."""
+    draw = np.random.RandomState(seed)
+    rows, k = [], 0
+    for base in range(bases):
+        words = [f"w{x}" for x in draw.randint(0, 4000, 60)]
+        for _ in range(base + 1):
+            own = list(words)
+            for at in draw.randint(0, 60, draw.randint(0, changes)):
+                own[at] = f"v{draw.randint(0, 9999)}"
+            for _ in range(draw.randint(1, 4)):
+                rows.append((k, " ".join(own)))
+                k += 1
+    rows += [(5, rows[70][1]), (5, rows[20][1]), (9, rows[70][1]), (40, "a text that no other has at all"), rows[0]]
+    rows += [(k, None), (k + 1, ""), (k + 2, "..."), (None, rows[0][1]), (None, None)]
+    return rows
+
+
+@pytest.mark.parametrize("tile", [2048, 5])
+def test_links_and_classes_are_those_of_all_pairs(spark, monkeypatch, tile):
+    monkeypatch.setattr(ngram_join, "TILE", tile)
+    rows = corpus()
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    pairs = [(r.doc_id_a, r.doc_id_b) for r in similar_pairs(docs).collect()]
+    got = linked_documents(docs).collect()
+    assert len(got) == len({k for k, _ in rows if k is not None})
+    assert {tuple(r) for r in got} == counted(pairs, {k for k, _ in rows if k is not None})
+
+
+def test_links_are_those_of_the_sql(spark):
+    duckdb = pytest.importorskip("duckdb")
+    rows = corpus(4, changes=3)  # no similarity near the threshold, where the search is approximate
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    said = con.execute(ngram_join.SQL).fetchall()
+    got = [tuple(r) for r in linked_documents(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()]
+    assert sorted(got) == sorted(said)
+
+
+def test_rows_grow_as_the_documents_and_not_as_the_pairs(spark):
+    docs = spark.createDataFrame([(k, "one text of several words that all of them have") for k in range(60)], "doc_id bigint, text string")
+    assert sorted(tuple(r) for r in linked_documents(docs).collect()) == [(k, 0, 59) for k in range(60)]
+
+
+def test_an_empty_table_gives_no_rows(spark):
+    assert linked_documents(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
