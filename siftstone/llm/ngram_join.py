@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from siftstone.llm.components import components
 from siftstone.llm.durable import written
-from siftstone.llm.textbatch import buffers, chunks, plain, sequence_digests, shingles
+from siftstone.llm.textbatch import buffers, chunks, plain, released, sequence_digests, shingles
 
 THRESHOLD, NGRAM, BANDS, ROWS, TOLERANCE = 0.5, 3, 40, 4, 0.005
 #: MinHash values that are compared before each look at the posterior.
@@ -186,6 +186,7 @@ def candidate_blocks(docs: DataFrame, *, n: int, threshold: float, bands: int, r
                     ],
                     ["doc_id", "d1", "d2", "sig", "keys"],
                 )
+            released()
 
     spark = docs.sparkSession
     signed = written(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null").mapInArrow(sign, "doc_id bigint, d1 bigint, d2 bigint, sig binary, keys binary"), "signed")
@@ -231,6 +232,7 @@ def _tiled(docs: DataFrame, classes: DataFrame, blocks: DataFrame) -> DataFrame:
             for begin, part in chunks(plain(batch.column(1)), 16 << 20):
                 d1, d2 = sequence_digests(part)
                 yield pa.record_batch([batch.column(0).slice(begin, len(part)), pa.array(d1), pa.array(d2), part], ["leader", "d1", "d2", "text"])
+            released()
 
     key = ["leader", "d1", "d2"]
     texts = docs.select(F.col("doc_id").cast("bigint").alias("id"), F.col("text").cast("string").alias("text")).where("id is not null")

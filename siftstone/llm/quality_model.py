@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftstone.llm.durable import written
-from siftstone.llm.textbatch import buffers, chunks, mixed, plain, shingles, words
+from siftstone.llm.textbatch import buffers, chunks, mixed, plain, released, shingles, words
 
 #: Labelled documents that are fitted on, at most.
 SAMPLE, SEED = 20_000, 29
@@ -71,6 +71,8 @@ def statistics(texts: pa.Array) -> np.ndarray:
             _distinct_share(h, w), _distinct_share(s, sw), (same[w[1:]] - same[np.minimum(w[:-1] + 1, w[1:])]) / n, letters / n, share(one("\n")) / n, share(one(".")) / n,
         ]
         out[begin : begin + len(part)] = np.column_stack(cols)
+        del cols, h, w, s, sw, same, raw, at, share
+    released()
     return out
 
 

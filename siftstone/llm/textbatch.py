@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,6 +21,16 @@ _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 WORD_BYTE = np.array([chr(b).isalnum() or b >= 128 for b in range(256)])
 
 
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def released() -> None:
+    """Gives freed memory back to the system: an idle worker keeps what its largest batch took, beside those that work."""
+    pa.default_memory_pool().release_unused()
+    if _trim:
+        _trim(0)
+
+
 def plain(texts: pa.Array) -> pa.Array:
     """Nulls become empty texts."""
     if isinstance(texts, pa.ChunkedArray):

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import base64
 import os
+from collections.abc import Callable
 from functools import lru_cache
 from itertools import chain
 
@@ -19,14 +20,14 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from siftstone.llm.textbatch import chunks, plain
+from siftstone.llm.textbatch import chunks, plain, released
 
 #: Where the public vocabularies are; a parameter of every operator that counts tokens.
 VOCABULARY = os.path.join("/opt/tokenizers", "byte_bpe_50k.tiktoken")
 #: Distinct parts that a Python worker remembers before it starts afresh.
 REMEMBERED = 400_000
 #: Bytes of text that are cut at once.
-CUT_BYTES = 8 << 20
+CUT_BYTES = 4 << 20
 
 _WHITE = r"[\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 _UNSAFE = _WHITE + " (?:" + _WHITE + "|$)"
@@ -43,20 +44,21 @@ class Tokens:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.encode = tiktoken.Encoding("own", pat_str=_PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self.known: dict[str, tuple[int, ...]] = {}
+        self.sizes: dict[str, int] = {}  # small numbers are shared: a fraction of the memory of ids
 
-    def _parts(self, parts: list[str]) -> list[tuple[int, ...]]:
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
+    def _parts(self, parts: list[str], known: dict, make: Callable) -> list:
+        if len(known) > REMEMBERED:
+            known.clear()
         out = []
         for p in parts:
-            ids = self.known.get(p)
-            if ids is None:
-                ids = self.known[p] = tuple(self.encode(p))
-            out.append(ids)
+            got = known.get(p)
+            if got is None:
+                got = known[p] = make(self.encode(p))
+            out.append(got)
         return out
 
-    def _coded(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[tuple[int, ...]]]:
-        """Offsets of the texts' parts, each part's place in the list of encoded parts, that list."""
+    def _coded(self, texts: pa.Array, known: dict, make: Callable) -> tuple[np.ndarray, np.ndarray, list]:
+        """Offsets of the texts' parts, each part's place in the list of encoded parts, that list: what ``make`` makes of their ids, as in ``known``."""
         whole = np.asarray(pc.match_substring_regex(texts, _UNSAFE))
         cut = pc.split_pattern(pc.if_else(pa.array(~whole), texts, ""), " ")
         at = np.asarray(cut.offsets, dtype=np.int64)
@@ -67,9 +69,9 @@ class Tokens:
         if whole.any():
             for k in np.flatnonzero(whole):
                 first[k] = None
-        ids = self._parts(distinct)
+        ids = self._parts(distinct, known, make)
         place[at[:-1]] = np.arange(len(texts)) + len(ids)
-        ids += [self._parts([p])[0] if p is not None else tuple(self.encode(texts[k].as_py())) for k, p in enumerate(first)]
+        ids += [self._parts([p], known, make)[0] if p is not None else make(self.encode(texts[k].as_py())) for k, p in enumerate(first)]
         return at, place, ids
 
     def counts(self, texts: pa.Array) -> np.ndarray:
@@ -77,9 +79,11 @@ class Tokens:
         texts = plain(texts)
         out = np.zeros(len(texts), np.int64)
         for begin, some in chunks(texts, CUT_BYTES):
-            at, place, ids = self._coded(some)
-            total = np.concatenate([[0], np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids))[place])])
+            at, place, sizes = self._coded(some, self.sizes, len)
+            total = np.concatenate([[0], np.cumsum(np.array(sizes, np.int64)[place])])
             out[begin : begin + len(some)] = total[at[1:]] - total[at[:-1]]
+            del at, place, sizes, total
+            released()
         return out
 
     def ids(self, texts: pa.Array) -> pa.Array:
@@ -87,7 +91,7 @@ class Tokens:
         texts = plain(texts)
         out = []
         for _, some in chunks(texts, CUT_BYTES):
-            at, place, ids = self._coded(some)
+            at, place, ids = self._coded(some, self.known, tuple)
             size = np.fromiter(map(len, ids), np.int64, len(ids))
             flat = np.fromiter(chain.from_iterable(ids), np.int32, int(size.sum()))
             begins = np.concatenate([[0], np.cumsum(size)])[:-1]

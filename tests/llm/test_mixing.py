@@ -47,3 +47,21 @@ def test_tiny_source_does_not_shrink_the_pipelines_mixture(spark):
     got = {r.doc_id for r in corpus_pipeline.mixture(spark, docs, "").select("doc_id").collect()}
     assert {1000, 1001} <= got
     assert len(got) > 300
+
+
+def test_counting_remembers_no_token_ids():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from siftstone.llm.tokens import VOCABULARY, Tokens
+
+    own = Tokens(VOCABULARY)
+    parts = [f"zq{k:x}xv{k * 7919:x}" for k in range(20_000)]
+    texts = pa.array([" ".join(parts[k : k + 100]) for k in range(0, len(parts), 100)] + [None, "", "a  b ", "x \n y"])
+    tracemalloc.start()
+    counts = own.counts(texts)
+    held = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert counts.tolist() == [len(x) for x in own.ids(texts).to_pylist()]
+    assert held < 200 * len(parts)
