@@ -123,3 +123,18 @@ def test_rows_grow_as_the_documents_and_not_as_the_pairs(spark):
 
 def test_an_empty_table_gives_no_rows(spark):
     assert linked_documents(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
+
+
+def test_a_large_group_of_near_copies_is_counted_and_not_listed(spark):
+    draw = np.random.RandomState(5)
+    base = [f"w{x}" for x in range(100)]
+    rows = []
+    for k in range(200):
+        own = list(base)
+        own[draw.randint(100)] = f"v{k}"
+        rows.append((k, " ".join(own)))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    members, named, blocks = ngram_join.candidate_blocks(docs, n=3, threshold=0.5, bands=40, rows=4, tolerance=0.005)
+    found = ngram_join.counted_links(docs, named, blocks.selectExpr("id", "component", "1L AS copies", "false AS mixed"), n=3, threshold=0.5).collect()
+    assert sorted(r.kind for r in found) == [ngram_join.EDGE] * 199 + [ngram_join.SUM] * 200
+    assert {r.links for r in found if r.kind == ngram_join.SUM} == {199}
