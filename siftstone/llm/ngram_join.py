@@ -24,12 +24,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftstone.llm.components import components
 from siftstone.llm.durable import written
-from siftstone.llm.textbatch import buffers, chunks, plain, released, sequence_digests, shingles
+from siftstone.llm.textbatch import buffers, chunks, plain, released, sequence_digests, shingles, word_digests, word_shingles, words
 
 THRESHOLD, NGRAM, BANDS, ROWS, TOLERANCE = 0.5, 3, 40, 4, 0.005
 #: MinHash values that are compared before each look at the posterior.
@@ -40,6 +40,8 @@ TILE = 2048
 SLAB = 256
 #: Pairs that a bucket compares at a time.
 PAIRS = 1 << 18
+#: Bits that tell the ids whose texts are verified from nearly all others.
+MARKS = 1 << 24
 
 
 def coefficients(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -60,13 +62,16 @@ def least_matches(threshold: float, tolerance: float, total: int, step: int = ST
     return out
 
 
-def signatures(texts: pa.Array, n: int, total: int) -> tuple[np.ndarray, np.ndarray]:
-    """MinHash values (uint32, a row a text) and which texts have any word."""
+def signatures(texts: pa.Array, n: int, total: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """MinHash values (uint32, a row a text), which texts have any word, and the digests of all; words are cut once for the three."""
     texts = plain(texts)
     a, b = coefficients(total)
     out, some = np.zeros((len(texts), total), np.uint32), np.zeros(len(texts), bool)
+    d1, d2 = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
     for begin, part in chunks(texts):
-        h, at = shingles(part, n)
+        w, at = words(part)
+        d1[begin : begin + len(part)], d2[begin : begin + len(part)] = word_digests(w, at)
+        h, at = word_shingles(w, at, n)
         full = np.flatnonzero(np.diff(at))
         if not len(full):
             continue
@@ -77,7 +82,7 @@ def signatures(texts: pa.Array, n: int, total: int) -> tuple[np.ndarray, np.ndar
             work += b[k]
             out[begin + full, k] = np.minimum.reduceat(work, starts)
         some[begin + full] = True
-    return out, some
+    return out, some, d1, d2
 
 
 def _pruned(sig: np.ndarray, i: np.ndarray, j: np.ndarray, least: list[int]) -> np.ndarray:
@@ -168,8 +173,7 @@ def candidate_blocks(docs: DataFrame, *, n: int, threshold: float, bands: int, r
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for begin, texts in chunks(plain(batch.column(1)), 16 << 20):
-                sig, some = signatures(texts, n, total)
-                d1, d2 = sequence_digests(texts)
+                sig, some, d1, d2 = signatures(texts, n, total)
                 key = sig[:, ::rows].astype(np.uint64)
                 for r in range(1, rows):
                     key = key * np.uint64(0x9E3779B97F4A7C15) + sig[:, r::rows]
@@ -196,48 +200,76 @@ def candidate_blocks(docs: DataFrame, *, n: int, threshold: float, bands: int, r
     named = classes.select("rep", "d1", "d2", "leader")
     members = written(signed.select("doc_id", "d1", "d2").distinct().join(named, ["d1", "d2"]).select("doc_id", "rep", "leader"), "members")
 
-    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                keys = _binary_rows(batch.column(1), np.int32)
-                yield pa.record_batch(
-                    [pa.array(np.repeat(np.asarray(batch.column(0)), bands)), pa.array(np.tile(np.arange(bands, dtype=np.int16), len(keys))), pa.array(keys.ravel())],
-                    ["rep", "band", "key"],
-                )
-
-    met = classes.select("rep", "keys").mapInArrow(explode, "rep bigint, band smallint, key int").distinct()
-    met = written(met.withColumn("many", F.count("*").over(Window.partitionBy("band", "key"))).where("many > 1").drop("many"), "met")
+    met = written(_shared_buckets(classes, bands), "met")
     signs = classes.select("rep", "sig")
 
     def edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t, starts in _groups(batches, ["band", "key"]):
+        for t, starts in _groups(batches, ["bucket"]):
             ids, sig = t.column("rep").to_numpy(), _binary_rows(t.column("sig"), np.uint16)
             for a, b in _bucket_edges(ids, sig, starts, least):
                 yield pa.record_batch([pa.array(a), pa.array(b)], ["a", "b"])
 
-    placed = met.join(signs, "rep").repartition("band", "key").sortWithinPartitions("band", "key", "rep")
+    placed = met.join(signs, "rep").repartition("bucket").sortWithinPartitions("bucket", "rep")
     return members, named, components(placed.mapInArrow(edges, "a bigint, b bigint"))
 
 
-def _tiled(docs: DataFrame, classes: DataFrame, blocks: DataFrame) -> DataFrame:
-    """The classes of each tile with a text and the other columns of ``blocks``, in the order that :func:`_sets` reads."""
-    other = [c for c in blocks.columns if c not in ("id", "component")]
-    sized = blocks.withColumn("tiles", F.ceil(F.count("*").over(Window.partitionBy("component")) / TILE).cast("int"))
-    sized = sized.withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int"))
-    every = F.sequence(F.lit(0), F.col("tiles") - 1)
-    spread = sized.withColumn("other", F.explode(every)).select("id", "component", *other, "tile", F.least("tile", "other").alias("left"), F.greatest("tile", "other").alias("right"))
+def _shared_buckets(classes: DataFrame, bands: int) -> DataFrame:
+    """``(rep, bucket)`` of ``classes(rep, keys)``, where a bucket, a band and its key in one number, has several classes.
+
+    A class has a bucket once a band, so that these rows are moved only once.
+    """
+
+    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                keys = _binary_rows(batch.column(1), np.uint32) + (np.arange(bands, dtype=np.int64) << 32)
+                yield pa.record_batch([pa.array(np.repeat(np.asarray(batch.column(0)), bands)), pa.array(keys.ravel())], ["rep", "bucket"])
+
+    met = classes.select("rep", "keys").mapInArrow(explode, "rep bigint, bucket bigint")
+    return met.withColumn("many", F.count("*").over(Window.partitionBy("bucket"))).where("many > 1").drop("many")
+
+
+def _mark(name: str) -> Column:
+    return F.pmod(F.xxhash64(name), F.lit(MARKS)) + 1
+
+
+def _marks(ids: DataFrame) -> np.ndarray:
+    """A bit for the :func:`_mark` of each of ``ids(id)``; as many bytes for any number of ids."""
+    out = np.zeros((MARKS >> 15, 4096), np.uint8)
+    at = ids.select(_mark("id").alias("mark")).groupBy(F.bitmap_bucket_number("mark").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("mark")).alias("bits"))
+    for r in at.toLocalIterator():
+        out[r.k - 1] = np.frombuffer(r.bits, np.uint8)
+    return out.ravel()
+
+
+def _digested(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """``(leader, d1, d2, text)`` of the documents of ``ids(id)`` and the few others that have a mark of theirs."""
+    marks = docs.sparkSession.sparkContext.broadcast(_marks(ids))
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            at = np.asarray(batch.column(2)) - 1
+            batch = batch.take(pa.array(np.flatnonzero(marks.value[at >> 3] >> (at & 7).astype(np.uint8) & 1)))
             for begin, part in chunks(plain(batch.column(1)), 16 << 20):
                 d1, d2 = sequence_digests(part)
                 yield pa.record_batch([batch.column(0).slice(begin, len(part)), pa.array(d1), pa.array(d2), part], ["leader", "d1", "d2", "text"])
             released()
 
-    key = ["leader", "d1", "d2"]
     texts = docs.select(F.col("doc_id").cast("bigint").alias("id"), F.col("text").cast("string").alias("text")).where("id is not null")
-    texts = texts.mapInArrow(digest, "leader bigint, d1 bigint, d2 bigint, text string")
-    texts = texts.join(classes.join(blocks.select(F.col("id").alias("rep")), "rep", "left_semi"), key, "left_semi").dropDuplicates(key)
+    return texts.withColumn("mark", _mark("id")).mapInArrow(digest, "leader bigint, d1 bigint, d2 bigint, text string")
+
+
+def _tiled(docs: DataFrame, classes: DataFrame, blocks: DataFrame) -> DataFrame:
+    """The classes of each tile with a text and the other columns of ``blocks``, in the order that :func:`_sets` reads."""
+    other = [c for c in blocks.columns if c not in ("id", "component")]
+    sized = blocks.withColumn("tiles", F.ceil(F.count("*").over(Window.partitionBy("component")) / TILE).cast("int"))
+    sized = sized.withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int"))
+    every = F.sequence(F.lit(0), F.col("tiles") - 1)
+    spread = sized.withColumn("other", F.explode(every)).select("id", "component", *other, "tile", F.least("tile", "other").alias("left"), F.greatest("tile", "other").alias("right"))
+
+    key = ["leader", "d1", "d2"]
+    wanted = classes.join(blocks.select(F.col("id").alias("rep")), "rep", "left_semi")
+    texts = _digested(docs, wanted.select(F.col("leader").alias("id"))).join(wanted, key, "left_semi").dropDuplicates(key)
     held = spread.join(classes.withColumnRenamed("rep", "id"), "id").join(texts, key).select("id", "component", "tile", "left", "right", "text", *other)
     return held.repartition("component", "left", "right").sortWithinPartitions("component", "left", "right", "id")
 

@@ -113,7 +113,11 @@ def shingles(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
 
     A text of fewer words, but one at least, has one shingle: all its words.
     """
-    w, at = words(texts)
+    return word_shingles(*words(texts), n)
+
+
+def word_shingles(w: np.ndarray, at: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """:func:`shingles` of what :func:`words` gave."""
     count = np.diff(at)
     kept = np.where(count >= n, count - n + 1, np.minimum(count, 1))
     out_at = np.concatenate([[0], np.cumsum(kept)])
@@ -132,9 +136,16 @@ def sequence_digests(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Two 64-bit digests of each text's words in their order."""
     out = [[np.zeros(0, np.int64)], [np.zeros(0, np.int64)]]
     for _, part in chunks(texts):
-        w, at = words(part)
-        place = np.arange(len(w), dtype=np.uint64) - np.repeat(at[:-1], np.diff(at)).astype(np.uint64)
-        for k, salt in enumerate((_U(0), _U(0xD6E8FEB86659FD93))):
-            total = np.concatenate([[_U(0)], np.cumsum(mixed(mixed(w ^ salt) + place * _U(_BASE)))])
-            out[k].append(mixed(total[at[1:]] - total[at[:-1]] + np.diff(at).astype(np.uint64)).view(np.int64))
+        for c, d in zip(out, word_digests(*words(part))):
+            c.append(d)
     return np.concatenate(out[0]), np.concatenate(out[1])
+
+
+def word_digests(w: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
+    """:func:`sequence_digests` of what :func:`words` gave."""
+    place = np.arange(len(w), dtype=np.uint64) - np.repeat(at[:-1], np.diff(at)).astype(np.uint64)
+    out = []
+    for salt in (_U(0), _U(0xD6E8FEB86659FD93)):
+        total = np.concatenate([[_U(0)], np.cumsum(mixed(mixed(w ^ salt) + place * _U(_BASE)))])
+        out.append(mixed(total[at[1:]] - total[at[:-1]] + np.diff(at).astype(np.uint64)).view(np.int64))
+    return out

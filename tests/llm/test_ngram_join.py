@@ -1,7 +1,8 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from siftstone.llm import ngram_join
+from siftstone.llm import ngram_join, textbatch
 from siftstone.llm.ngram_join import _tree, duplicate_groups, linked_documents, similar_pairs
 
 
@@ -138,3 +139,31 @@ def test_a_large_group_of_near_copies_is_counted_and_not_listed(spark):
     found = ngram_join.counted_links(docs, named, blocks.selectExpr("id", "component", "1L AS copies", "false AS mixed"), n=3, threshold=0.5).collect()
     assert sorted(r.kind for r in found) == [ngram_join.EDGE] * 199 + [ngram_join.SUM] * 200
     assert {r.links for r in found if r.kind == ngram_join.SUM} == {199}
+
+
+def test_a_signed_text_is_cut_into_words_once(monkeypatch):
+    cut, real = [], textbatch.words
+    for module in (textbatch, ngram_join):
+        monkeypatch.setattr(module, "words", lambda texts: cut.append(len(texts)) or real(texts), raising=False)
+    texts = pa.array(["one text of several words", "", "another text of several words", None])
+    _, some, d1, d2 = ngram_join.signatures(texts, 3, 160)
+    assert cut == [4]
+    assert some.tolist() == [True, False, True, False]
+    assert [x.tolist() for x in (d1, d2)] == [x.tolist() for x in textbatch.sequence_digests(textbatch.plain(texts))]
+
+
+def test_rows_of_buckets_are_moved_once(spark):
+    keys = [np.array(k, np.uint32).tobytes() for k in ([7, 4_000_000_000, 1], [1, 4_000_000_000, 7], [7, 2, 3])]
+    met = ngram_join._shared_buckets(spark.createDataFrame([(k, bytearray(x)) for k, x in enumerate(keys)], "rep bigint, keys binary"), 3)
+    assert sorted(tuple(r) for r in met.collect()) == [(0, 7), (0, (1 << 32) + 4_000_000_000), (1, (1 << 32) + 4_000_000_000), (2, 7)]
+    assert met._jdf.queryExecution().sparkPlan().toString().count("Aggregate") == 0
+
+
+def test_only_texts_that_are_verified_are_moved(spark):
+    docs = spark.createDataFrame([(k, f"text number {k} of many") for k in range(-2000, 2000)] + [(None, "no id")], "doc_id bigint, text string")
+    wanted = set(range(-2000, 2000, 100))
+    rows = ngram_join._digested(docs, spark.createDataFrame([(k,) for k in wanted], "id bigint")).collect()
+    assert wanted <= {r.leader for r in rows}
+    assert len(rows) < len(wanted) + 5
+    assert all(r.text == f"text number {r.leader} of many" for r in rows)
+    assert ngram_join._digested(docs, spark.createDataFrame([], "id bigint")).count() == 0
