@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftstone.llm.durable import written
+from siftstone.llm.picking import rows_of
 from siftstone.llm.tokens import VOCABULARY, tokens
 
 SEED = 41
@@ -164,7 +165,6 @@ def selection(docs: DataFrame, *, weights: dict[str | None, float] | None = None
 
 
 def mixed_documents(docs: DataFrame, **parameters: object) -> DataFrame:
-    """The rows of ``docs`` whose ids :func:`selection` has, columns unchanged."""
-    chosen = written(selection(docs, **parameters).select(F.col("doc_id").alias("chosen_doc_id")), "chosen")
-    return docs.join(chosen, docs["doc_id"].cast("bigint").eqNullSafe(chosen["chosen_doc_id"]), "left_semi")
+    """The rows of ``docs`` whose ids :func:`selection` has, columns unchanged; few texts are moved."""
+    return rows_of(docs, written(selection(docs, **parameters).select(F.col("doc_id").alias("id")), "chosen"))
 

@@ -379,7 +379,7 @@ def _tile_hits(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, thre
     name, owner = np.unique(name[shared], return_inverse=True)[1], owner[shared]
     width = int(name.max()) + 1 if len(name) else 0
     both = np.zeros((len(rows), len(cols)), np.float32)
-    per = max(64, (8 << 20) // max(1, len(sets)))
+    per = max(64, (2 << 20) // max(1, len(sets)))
     for begin in range(0, width, per):
         span = slice(*np.searchsorted(name, [begin, begin + per]))
         m = np.zeros((len(sets), min(per, width - begin)), np.float32)

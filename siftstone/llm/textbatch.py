@@ -9,8 +9,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Bytes of text that are worked on at once.
-CHUNK_BYTES = 2 << 20
+#: Bytes of text that are worked on at once; a worker takes some 50 bytes of memory for each, on top of the batch.
+CHUNK_BYTES = 1 << 18
 
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15

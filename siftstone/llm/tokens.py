@@ -26,8 +26,8 @@ from siftstone.llm.textbatch import chunks, plain, released
 VOCABULARY = os.path.join("/opt/tokenizers", "byte_bpe_50k.tiktoken")
 #: Distinct parts that a Python worker remembers before it starts afresh.
 REMEMBERED = 400_000
-#: Bytes of text that are cut at once.
-CUT_BYTES = 4 << 20
+#: Bytes of text that are cut at once, for ids and for counts.
+CUT_BYTES, COUNTED_BYTES = 4 << 20, 1 << 20
 
 _WHITE = r"[\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 _UNSAFE = _WHITE + " (?:" + _WHITE + "|$)"
@@ -78,7 +78,7 @@ class Tokens:
         """Tokens of each text; 0 for null and empty texts."""
         texts = plain(texts)
         out = np.zeros(len(texts), np.int64)
-        for begin, some in chunks(texts, CUT_BYTES):
+        for begin, some in chunks(texts, COUNTED_BYTES):
             at, place, sizes = self._coded(some, self.sizes, len)
             total = np.concatenate([[0], np.cumsum(np.array(sizes, np.int64)[place])])
             out[begin : begin + len(some)] = total[at[1:]] - total[at[:-1]]
