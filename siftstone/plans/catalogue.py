@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from siftstone.functions import dictionaries as D
 from siftstone.functions import scalars as S
-from siftstone.functions.text import column_of, line_of, matches
+from siftstone.functions.text import before, column_after, found, line_after, once, pieces
 from siftstone.operators import patterns as P
 from siftstone.operators import runner, scan
 from siftstone.sinks import render
@@ -220,8 +220,10 @@ def line_snippets(spark, sf):
 
 @query(r"SELECT doc_id, line::INTEGER AS line, (length(regexp_extract(l, '(?i)^(.*?)(?:(?:secret|token|bearer)\s*[:=])', 1)) + 1)::INTEGER AS column FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM documents) WHERE regexp_matches(l, '(?i)(?:secret|token|bearer)\s*[:=]')")
 def token_scan(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", "text", F.explode(matches(F.col("text"), r"(?i)(?:secret|token|bearer)\s*[:=]")).alias("m"))
-    at = docs.select("doc_id", line_of(F.col("text"), F.col("m.begin")).alias("line"), column_of(F.col("text"), F.col("m.begin")).alias("column"))
+    regex = r"(?i)(?:secret|token|bearer)\s*[:=]"
+    docs = table(spark, sf, "documents").select("doc_id", pieces(F.col("text"), regex).alias("parts"), F.posexplode(found(F.col("text"), regex)).alias("k", "m"))
+    docs = once(docs, "doc_id", before=before(F.col("parts"), F.col("k"), F.col("m")))
+    at = docs.select("doc_id", line_after(F.col("before")).alias("line"), column_after(F.col("before")).alias("column"))
     return at.groupBy("doc_id", "line").agg(F.min("column").alias("column"))
 
 
@@ -245,7 +247,7 @@ def imports_masked_static(spark, sf):
 
 @query(f'{_BASE}, {_IMPORTS}, {_MERGED} SELECT path, source, array_to_string(specifiers, \',\') AS specifiers, is_dynamic, is_type_only, line::INTEGER AS line, "column"::INTEGER AS "column" FROM merged')
 def import_merge(spark, sf):
-    merged = scan.merged_imports(scan.imports(src_files(spark, sf)))
+    merged = scan.merged_imports(src_files(spark, sf))
     return merged.select("path", "source", F.array_join(F.array_sort("specifiers"), ",").alias("specifiers"), "is_dynamic", "is_type_only", "line", "column")
 
 
@@ -256,18 +258,18 @@ def partition_imports(spark, sf):
 
 @query(f"{_BASE}, {_IMPORTS}, {_MERGED} SELECT package, count(*)::BIGINT AS sites, count(DISTINCT path)::BIGINT AS files FROM (SELECT *, {_package('source')} AS package FROM merged) WHERE package IS NOT NULL GROUP BY package")
 def package_sites(spark, sf):
-    rows = scan.merged_imports(scan.imports(src_files(spark, sf))).withColumn("package", S.package_name(F.col("source"))).where("package is not null")
+    rows = scan.merged_imports(src_files(spark, sf), names=False).withColumn("package", S.package_name(F.col("source"))).where("package is not null")
     return rows.groupBy("package").agg(F.count("*").alias("sites"), F.countDistinct("path").alias("files"))
 
 
 @query(f"{_BASE}, {_IMPORTS}, {_MERGED}, {_KNOWN}, {_UNKNOWN} SELECT path, source, package, line::INTEGER AS line FROM unknown")
 def unknown_packages(spark, sf):
-    return scan.unknown_packages(scan.merged_imports(scan.imports(src_files(spark, sf)))).select("path", "source", "package", "line")
+    return scan.unknown_packages(scan.merged_imports(src_files(spark, sf), names=False)).select("path", "source", "package", "line")
 
 
 @query(f"{_BASE}, {_PACKAGES} SELECT * FROM nearest")
 def nearest_package(spark, sf):
-    rows = scan.unknown_packages(scan.merged_imports(scan.imports(src_files(spark, sf))))
+    rows = scan.unknown_packages(scan.merged_imports(src_files(spark, sf), names=False))
     return scan.nearest_packages(rows, D.known_packages(spark))
 
 
@@ -294,7 +296,8 @@ def nearest_manifest(spark, sf):
 
 @query(f"{_BASE}, {_IMPORTS}, {_MERGED}, {_KNOWN}, {_UNKNOWN} SELECT path, package, line::INTEGER AS line FROM unknown WHERE (({_DIR}), package) NOT IN (('/project', 'lodahs'), ('/project/src/lib', 'expresss'), ('/project/src/lib', 'left-padd'))")
 def undeclared_packages(spark, sf):
-    return scan.unknown_packages(scan.merged_imports(scan.imports(src_files(spark, sf))), _manifests(spark)).select("path", "package", "line")
+    files = src_files(spark, sf)
+    return scan.unknown_packages(scan.merged_imports(files, names=False), _manifests(spark), files).select("path", "package", "line")
 
 
 @query("SELECT * FROM (VALUES ('/project', 'lodahs'), ('/project/src/lib', 'expresss'), ('/project/src/lib', 'left-padd')) m(dir, name)")
@@ -306,7 +309,7 @@ def manifest_dependencies(spark, sf):
 def registry_missing(spark, sf):
     registry = spark.createDataFrame([("lodahs", False), ("react", True), ("expresss", False), ("left-padd", False)], "name string, exists boolean")
     declared = spark.createDataFrame([("left-padd",)], "name string")
-    return scan.registry_missing(scan.merged_imports(scan.imports(src_files(spark, sf))), registry, declared).select("path", "source", "line")
+    return scan.registry_missing(scan.merged_imports(src_files(spark, sf), names=False), registry, declared).select("path", "source", "line")
 
 
 @query(f"WITH {_KNOWN} SELECT DISTINCT x AS name, CASE WHEN starts_with(x, '.') OR starts_with(x, '/') THEN true ELSE x IN (SELECT name FROM builtin) END AS \"exists\", CASE WHEN starts_with(x, '.') OR starts_with(x, '/') OR x IN (SELECT name FROM builtin) THEN 1.0 ELSE 0.0 END::DOUBLE AS confidence FROM (SELECT unnest(['fs', './a', '/b', 'react', 'node:path', lower(p_brand)]) AS x FROM part)")
@@ -352,7 +355,7 @@ def unsafe_scan(spark, sf):
 
 def _pattern_query(p: P.Pattern):
     def one(spark, sf):
-        return scan.unsafe_matches(src_files(spark, sf)).where(F.col("id") == p.id).select("path", "line", "column")
+        return scan.unsafe_matches(src_files(spark, sf), (p,)).select("path", "line", "column")
 
     query(f'{_BASE}, u AS ({_unsafe(p)}) SELECT path, line, "column" FROM u', "unsafe_" + p.id.replace("-", "_"))(one)
 
