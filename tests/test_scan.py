@@ -83,3 +83,11 @@ def test_contents_and_findings_are_not_moved(spark, name):
     moved = [x for x in re.findall(r"Exchange hashpartitioning\(([^,)]*)", plan(catalogue.QUERIES[name](spark, SF)))]
     assert {x.split("#")[0] for x in moved} <= {"event_id", "package", "length"}
     assert not re.search(r"SortMergeJoin \[(?:path|file_path)", plan(catalogue.QUERIES[name](spark, SF)))
+
+
+def test_sorted_findings_are_found_once(spark):
+    """What is sorted is read from a table of findings: no pattern is looked for in the plan."""
+    df = catalogue.QUERIES["findings_sorted"](spark, SF)
+    assert "regexp_extract_all" not in plan(df)
+    rows = df.select("rank").collect()
+    assert [r.rank for r in rows] == sorted((r.rank for r in rows), reverse=True)
